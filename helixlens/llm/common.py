@@ -81,8 +81,18 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch that Python works on at a time: texts of thousands of rows at once would fill a worker.
+SLICE_ROWS = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
-    """mapInArrow with a function made once a task: it gets each batch and yields dicts of column arrays."""
+    """mapInArrow with a function made once a task: it gets slices of batches and yields dicts of column arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -90,9 +100,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
 
     def run(batches):
         f = make()
-        for batch in batches:
-            for cols in f(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], type=x.type) for x in out], schema=out)
+        for cols in (x for part in sliced(batches) for x in f(part)):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], type=x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

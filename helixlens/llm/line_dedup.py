@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, map_rows, text_of
+from .common import documents, map_rows, sliced, text_of
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -71,7 +71,7 @@ def add(bitmap: np.ndarray, at: np.ndarray) -> None:
 def _filters(bits: int, min_length: int):
     def run(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in sliced(batches):
             keys = [k for t in batch.column(0).to_pylist() for k in {*keys_of(t, min_length)} - {None}]
             if not keys:
                 continue
@@ -141,7 +141,8 @@ def dedup_lines(
 
         return one
 
-    suspected = durable(map_rows(rows, suspects, "doc_id long, digest binary").distinct())
+    # Used twice below: both read the one exchange of distinct().
+    suspected = map_rows(rows, suspects, "doc_id long, digest binary").distinct()
     repeated = (
         suspected.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
@@ -174,7 +175,7 @@ def dedup_lines(
 
         return one
 
-    both = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lost")
+    both = rows.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lost")
     return map_rows(both, rebuild, "doc_id long, text string, n_lines long, n_dropped long")
 
 

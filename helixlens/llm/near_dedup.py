@@ -4,9 +4,10 @@ Each document's set of word shingles is sketched by REGISTERS SetSketch register
 truncated, of the least of exponentially distributed hashes. Registers merge by maximum, and equal ones are as likely
 as the sets are similar. Classes of documents with equal sets are represented by one of them. BANDS bands of register
 values deal representatives into buckets. Inside a bucket nobody is paired with everybody: all are compared with the
-bucket's pivot, the member that shares most buckets with others, which is the centre of a group of edited copies. Only
-buckets that still hold several components pair members across components, pruned by the triangle inequality of the
-Jaccard distance. A pair is judged by the joint likelihood of its registers first, then confirmed on the full sets.
+bucket's pivot, the member that shares most buckets with others, which is the centre of a group of edited copies. A
+pair is judged by the joint likelihood of its registers first, then confirmed on the full sets. Members that are not
+linked with their pivot are a query set that is held against the pivot's whole group on full sets, in blocks of bounded
+size, where the group still has several components.
 
 A pair at the threshold 0.85 shares none of the 32 bands with probability (1 - 0.85**4)**32 < 1e-10.
 """
@@ -31,6 +32,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: A pair whose registers are exp(20) times likelier at another similarity than at any linked one is not looked at again.
 LIKELIHOOD_GAP = 20.0
 
+#: Shingles of the queries, and of the group they are held against, in one block, about.
+QUERY_SHINGLES, GROUP_SHINGLES = 1 << 18, 1 << 20
+
 _SEEDS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _XOR, _MUL = (_SEEDS >> np.uint64(32)).astype(np.uint32), _SEEDS.astype(np.uint32) | np.uint32(1)
 _BAND_SALT = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -150,6 +154,35 @@ def _linked(percent: int) -> Column:
     return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
 
 
+def _links_of_block(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between the queries of a block and its members of other components, on full sets.
+
+        Shingles that only one set of the block has count in its size alone; the others are columns of a bit matrix.
+        """
+        sizes = rows["members"].map(len).to_numpy()
+        tokens = np.concatenate(rows["members"].to_numpy()) if sizes.sum() else np.zeros(0, np.int64)
+        _, token, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        of_row = np.repeat(np.arange(len(rows)), sizes)
+        column = np.cumsum(n > 1) - 1
+        shared = n[token] > 1
+        bits = np.zeros((len(rows), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
+        at = column[token[shared]]
+        np.bitwise_or.at(bits, (of_row[shared], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        is_y, label, v = rows["is_y"].to_numpy(bool), rows["label"].to_numpy(), rows["v"].to_numpy()
+        rest = np.flatnonzero(~is_y)
+        a, b = [], []
+        for y in np.flatnonzero(is_y):
+            near = rest[(label[rest] != label[y]) & (np.minimum(sizes[rest], sizes[y]) * 100 >= np.maximum(sizes[rest], sizes[y]) * percent)]
+            common = np.bitwise_count(bits[near] & bits[y]).sum(axis=1, dtype=np.int64)
+            hit = v[near[common * 100 >= (sizes[near] + sizes[y] - common) * percent]]
+            a += [v[y]] * len(hit)
+            b += hit.tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, code (xxhash64 of the text).
 
@@ -179,35 +212,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to_pivot = shared.join(pivots, "key").filter("v <> pivot").select(F.col("v").alias("a"), F.col("pivot").alias("b")).distinct()
     judged = durable(_judged(to_pivot, classes, percent))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = wanted.join(classes.select("v", "set_key", F.col("first.doc_id").alias("id")), "v")
         texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("v", "text", "set_key")
         return durable(map_rows(texts, _sets(words), "v long, members array<long>"))
 
-    measured = durable(_overlaps(judged, sets_of(judged)))
+    measured = durable(_overlaps(judged, sets_of(judged.select(F.explode(F.array("a", "b")).alias("v")).distinct())))
     links = measured.filter(_linked(percent)).select("a", "b")
     found = components(links)
 
-    # What is left: buckets that hold several components. `far` is the distance to the bucket's pivot, where it was measured.
-    placed = shared.join(found, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    far = measured.select(F.col("a").alias("v"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    left = durable(
-        placed.join(mixed, "key").join(pivots, "key").join(far, ["v", "pivot"], "left")
-        .join(classes.select("v", "n"), "v")
-        .select("key", "v", "label", "n", F.when(F.col("v") == F.col("pivot"), 0.0).otherwise(F.col("far")).alias("far"), (F.col("v") == F.col("pivot")).alias("is_pivot"))
+    # What is left: groups of a pivot that hold several components.
+    members = to_pivot.select(F.col("a").alias("v"), F.col("b").alias("p")).unionByName(pivots.select(F.col("pivot").alias("v"), F.col("pivot").alias("p")).distinct())
+    direct = measured.filter(_linked(percent)).select(F.col("a").alias("v"), F.col("b").alias("p"), F.lit(True).alias("direct"))
+    members = durable(
+        members.join(found, "v", "left").withColumn("label", F.coalesce("label", "v")).join(direct, ["v", "p"], "left").join(classes.select("v", "n"), "v")
+        .select("v", "p", "label", "n", (F.col("direct").isNull() & (F.col("v") != F.col("p"))).alias("asks"))
     )
-    side = lambda x: left.filter("not is_pivot").select("key", F.col("v").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("far").alias(f"f{x}"))
-    near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    across = (
-        side("a").join(side("b"), "key")
-        .filter((F.col("la") < F.col("lb")) & near & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-        .select("a", "b").distinct()
-    )
-    rest = durable(_judged(across, classes, percent))
-    if not rest.isEmpty():
-        more = durable(_overlaps(rest, sets_of(rest)).filter(_linked(percent)).select("a", "b"))
+    blocks = lambda words, size: F.ceil(words / size).cast("int")
+    groups = (
+        members.groupBy("p")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks(F.sum(F.when(F.col("asks"), F.col("n"))), QUERY_SHINGLES).alias("yn"), blocks(F.sum("n"), GROUP_SHINGLES).alias("mn"))
+        .filter("lo < hi and yn > 0")
+    )
+    open_members = members.join(groups, "p")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("v"), F.col(n).cast("long")).cast("int")
+    asking = open_members.filter("asks").withColumn("yb", own("yn")).withColumn("mb", upto("mn")).withColumn("is_y", F.lit(True))
+    asked = open_members.withColumn("mb", own("mn")).withColumn("yb", upto("yn")).withColumn("is_y", F.lit(False))
+    dealt = durable(asking.select("p", "yb", "mb", "is_y", "v", "label").unionByName(asked.select("p", "yb", "mb", "is_y", "v", "label")))
+    if not dealt.isEmpty():
+        wanted = dealt.select("v").distinct()
+        full = dealt.join(sets_of(wanted), "v")
+        more = durable(full.groupBy("p", "yb", "mb").applyInPandas(_links_of_block(percent), "a long, b long").distinct())
         if not more.isEmpty():
             found = components(links.unionByName(more))
 

@@ -7,7 +7,7 @@ occurs once in the corpus cannot lie in a repeat; one aggregation of hashes take
 entries: the bytes right of the anchor that its windows cover, with those left of it as payload.
 
 Tasks sort their entries into runs and exchange them front-coded (shared prefix length, rest), dealt by the hash of the
-GRAM, which is the leading part of the sort key; equal entries travel once. Receiving tasks combine runs with a loser
+GRAM, which is the leading part of the sort key; equal entries travel once, and of equal documents only one takes part. Receiving tasks combine runs with a loser
 tree that carries common prefix lengths, so known prefixes are never compared again and each entry leaves the tree with
 its common prefix with the one before. Inside a cluster of entries with the same GRAM, neighbours by right and by left
 context decide which windows repeat; windows they leave open are counted outright.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def front_coded(keys: list[bytes], payload: list) -> bytes:
         shared[i] = common_prefix(keys[i - 1], keys[i])
     rests = [k[h:] for k, h in zip(keys, shared, strict=True)]
     sizes = np.fromiter(map(len, rests), np.uint16, len(rests))
-    return zlib.compress(pickle.dumps((np.array(shared, np.uint16), sizes, b"".join(rests), payload), 5), 1)
+    return zlib.compress(pickle.dumps((np.array(shared, np.uint16), sizes, b"".join(rests), payload), 5), 5)
 
 
 def decoded(blob: bytes) -> Iterator[tuple[bytes, int, object]]:
@@ -175,13 +176,14 @@ def repeated_windows(rights: list[bytes], lefts: list[bytes], shared: list[int],
 def _grams(length: int, span: int):
     def make():
         def one(batch):
-            grams, twice = [], []
+            grams, twice, whole = [], [], []
             for t in batch.column(1).to_pylist():
+                whole.append(xxhash.xxh3_128_digest(t))
                 raw = np.frombuffer(t, np.uint8)
                 own, n = np.unique(gram_hashes(raw, anchors(raw, length, span)[0], length - span + 1), return_counts=True)
                 grams.append(signed(own))
                 twice.append(signed(own[n > 1]))
-            yield {"doc_id": batch.column(0), "grams": grams, "twice": twice}
+            yield {"doc_id": batch.column(0), "code": batch.column(2), "whole": whole, "grams": grams, "twice": twice}
 
         return one
 
@@ -273,8 +275,9 @@ def _cut(length: int):
         def one(batch):
             kept, n_bytes, spans = [], [], []
             for text, code, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                # last -1: all of the text.
                 own: list[list[int]] = []
-                for x in sorted((x["first"], x["last"] + length) for x in found or ()):
+                for x in sorted((x["first"], len(text) if x["last"] < 0 else x["last"] + length) for x in found or ()):
                     if own and x[0] <= own[-1][1]:
                         own[-1][1] = max(own[-1][1], x[1])
                     else:
@@ -300,17 +303,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     coded = rows.withColumn("code", F.xxhash64("text"))
-    # A GRAM that one document has at several anchors, and no other document, is suspected too: it may repeat inside.
-    grams = durable(map_rows(rows, _grams(length, span), "doc_id long, grams array<long>, twice array<long>"))
+    grams = durable(map_rows(coded, _grams(length, span), "doc_id long, code long, whole binary, grams array<long>, twice array<long>"))
+    # Of equal long texts all goes; only the first takes part in the search, for what others share with it.
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    equal = grams.groupBy("whole").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    equal = durable(grams.filter(F.size("grams") > 0).select("doc_id", "code", "whole").join(equal, "whole").select("doc_id", "code", (first == F.col("first")).alias("leads")))
+    # A GRAM that a document has at several anchors is suspected even if no other document has it.
     counted = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     listed = grams.select("doc_id", F.explode("grams").alias("gram")).join(counted, "gram")
     listed = listed.select("doc_id", "gram").unionByName(grams.select("doc_id", F.explode("twice").alias("gram")))
     wanted = listed.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("gram").alias("wanted"))
+    copies = equal.filter("not leads").select(F.col("doc_id").alias("copy_id"), F.col("code").alias("copy_code"))
     groups = GROUPS_A_TASK * tasks(docs)
-    suspected = coded.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "code", "text", "wanted")
+    suspected = (
+        coded.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
+        .join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("code") == F.col("copy_code")), "left_anti")
+        .select("doc_id", "code", "text", "wanted")
+    )
     runs = suspected.mapInArrow(_runs(length, span, groups), "part long, run binary")
-    found = runs.groupBy("part").applyInPandas(_combine(length), SPANS).distinct()
-    spans = found.groupBy(F.col("doc_id").alias("id"), F.col("code").alias("c")).agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    found = runs.groupBy("part").applyInPandas(_combine(length), SPANS)
+    whole = equal.select("doc_id", "code", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
+    spans = found.unionByName(whole).groupBy(F.col("doc_id").alias("id"), F.col("code").alias("c")).agg(F.collect_list(F.struct("first", "last")).alias("found"))
     both = coded.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("code") == F.col("c")), "left").select("doc_id", "text", "code", "found")
     return map_rows(both, _cut(length), "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, `end`: long>>")
 

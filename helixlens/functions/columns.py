@@ -26,8 +26,18 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(F.regexp_replace(seq, "[^ACGTacgt]", "N"), "ACGTacgt", "TGCAtgca"))
 
 
+def count_of(seq: Column, symbols: str) -> Column:
+    """How many characters of a sequence are among the symbols."""
+    return (F.length(seq) - F.length(F.translate(seq, symbols, ""))).cast("long")
+
+
 def gc_count(seq: Column) -> Column:
-    return F.length(F.regexp_replace(seq, "[^GCgc]", "")).cast("long")
+    return count_of(seq, "GCgc")
+
+
+def least_code(qual: Column) -> Column:
+    """Least quality byte of a read; null for an empty one."""
+    return F.ascii(F.array_min(letters(qual)))
 
 
 def gc_prefix(seq: Column) -> Column:

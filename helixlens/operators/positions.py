@@ -54,6 +54,16 @@ def per_base_quality(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame
     return _grouped(by_pos, cfg, whole.select("max_len")).groupBy("lower_base", "upper_base").agg(*[F.avg(c).alias(c) for c in names])
 
 
+def least_percentile(reads: DataFrame, percent: int) -> DataFrame:
+    """One row, least_percentile: the least percentile of quality over positions deep enough to have one; 1000 if none is."""
+    at = Window.partitionBy("pos")
+    hist = quality_counts(reads)
+    whole = hist.agg(encoding_offset(F.min("code")).alias("offset"))
+    running = F.sum("n").over(at.orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
+    by_pos = with_scalar(hist, whole).withColumns({"running": running, "total": F.sum("n").over(at)}).groupBy("pos").agg(percentile_at(percent).alias("x"))
+    return by_pos.agg(F.least(F.coalesce(F.min("x"), F.lit(1000)), F.lit(1000)).alias("least_percentile"))
+
+
 def per_base_content(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
     """lower_base, upper_base, percent of G, A, T and C among those four."""
     cfg = cfg or QcConfig()

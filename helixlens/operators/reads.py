@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import encoding_name, gc_count, gc_prefix, length_step, letters, with_scalar
+from ..functions.columns import count_of, encoding_name, gc_count, gc_prefix, least_code, length_step, letters, with_scalar
 
 
 def basic_statistics(reads: DataFrame) -> DataFrame:
     """One row. sequence_min_length is the last read's length and sequence_max_length the least one; the true ones stand beside them."""
-    n = lambda bases: F.length(F.regexp_replace("seq", f"[^{bases}]", ""))
-    codes = F.array_min(F.transform(letters(F.col("qual")), F.ascii))
     length = F.length("seq").cast("long")
     a = reads.agg(
-        F.count(F.lit(1)).alias("total_sequence"), F.sum(n("GCgc")).alias("gc"), F.sum(n("ATat")).alias("at"), F.min(codes).alias("least"),
+        F.count(F.lit(1)).alias("total_sequence"), F.sum(count_of(F.col("seq"), "GCgc")).alias("gc"), F.sum(count_of(F.col("seq"), "ATat")).alias("at"), F.min(least_code(F.col("qual"))).alias("least"),
         F.max_by(length, "read_idx").alias("last_len"), F.min(length).alias("min_len"), F.max(length).alias("max_len"),
     )
     return a.select(
@@ -27,37 +25,35 @@ def basic_statistics(reads: DataFrame) -> DataFrame:
 
 def per_sequence_quality(reads: DataFrame) -> DataFrame:
     """score, count: reads by their mean quality byte (rounded down) less the offset, from the least to the largest without gaps."""
-    codes = F.transform(letters(F.col("qual")), F.ascii)
-    kept = reads.filter(F.length("qual") > 0).select(
-        F.floor(F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c) / F.length("qual")).alias("code"), F.array_min(codes).alias("least")
-    )
+    total = F.aggregate(letters(F.col("qual")), F.lit(0).cast("long"), lambda s, c: s + F.ascii(c))
+    kept = reads.filter(F.length("qual") > 0).select(F.floor(total / F.length("qual")).alias("code"), least_code(F.col("qual")).alias("least"))
     hist = kept.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
     span = hist.agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.when((F.min("least") >= 32) & (F.min("least") < 64), 33).otherwise(64).alias("offset"))
     dense = span.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("code"), "offset")
     return dense.join(hist, "code", "left").select((F.col("code") - F.col("offset")).alias("score"), F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def gc_model(lengths: DataFrame) -> DataFrame:
-    """(len, gc_count, pct, increment) for each length of lengths(len): the percentages that a count may stand for.
+def gc_claims(length: Column, count: Column) -> Column:
+    """Array of (pct, increment): the percentages that a GC count may stand for in reads of a length.
 
-    Every percentage that a count claims gets one over the number of counts that claim it.
+    A count k claims the rounded percentages from k - 1/2 to k + 1/2, and every percentage gives its claimants equal
+    parts. Only counts next to a percentage can claim it, so claimants are counted over a short range.
     """
-    bound = lambda x: F.when(F.col("len") > 0, F.floor(100 * x / F.col("len") + 0.5)).otherwise(0).cast("long")
-    k = F.col("gc_count")
-    claims = lengths.select("len", F.explode(F.sequence(F.lit(0).cast("long"), "len")).alias("gc_count")).select(
-        "len", "gc_count", F.explode(F.sequence(bound(F.greatest(k - 0.5, F.lit(0.0))), bound(F.least(k + 0.5, F.col("len").cast("double"))))).alias("pct")
-    )
-    many = claims.groupBy("len", "pct").agg((F.lit(1.0) / F.count(F.lit(1))).alias("increment"))
-    return claims.join(many, ["len", "pct"]).select("len", "gc_count", "pct", "increment")
+    n = length.cast("long")
+    bound = lambda x: F.when(n > 0, F.floor(100 * x / n + 0.5)).otherwise(0).cast("long")
+    lo, hi = (lambda k: bound(F.greatest(k - 0.5, F.lit(0.0)))), (lambda k: bound(F.least(k + 0.5, n.cast("double"))))
+    near = lambda p: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((p - 0.5) * n / 100) - 1), F.least(n, F.ceil((p + 0.5) * n / 100) + 1))
+    claimants = lambda p: F.size(F.filter(near(p), lambda k: (lo(k) <= p) & (hi(k) >= p)))
+    return F.transform(F.sequence(lo(count), hi(count)), lambda p: F.struct(p.alias("pct"), (F.lit(1.0) / claimants(p)).alias("increment")))
 
 
 def gc_distribution(reads: DataFrame) -> DataFrame:
     """gc_pct 0 to 100, count: GC counts of the (truncated) reads through the model of their full length."""
     counts = reads.groupBy(F.length("seq").cast("long").alias("len"), gc_count(gc_prefix(F.col("seq"))).alias("gc_count")).agg(F.count(F.lit(1)).alias("n"))
-    model = gc_model(counts.select("len").distinct())
-    by_pct = counts.join(model, ["len", "gc_count"]).groupBy(F.col("pct").alias("gc_pct")).agg(F.sum(F.col("n") * F.col("increment")).alias("count"))
+    shares = counts.select("n", F.explode(gc_claims(F.col("len"), F.col("gc_count"))).alias("c"))
+    by_pct = shares.groupBy(F.col("c.pct").alias("gc_pct")).agg(F.sum(F.col("n") * F.col("c.increment")).alias("count"))
     spine = reads.sparkSession.range(101).withColumnRenamed("id", "gc_pct")
-    return spine.join(by_pct, "gc_pct", "left").select("gc_pct", F.coalesce("count", F.lit(0.0)).alias("count"))
+    return spine.join(F.broadcast(by_pct), "gc_pct", "left").select("gc_pct", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 
 def gc_theoretical(reads: DataFrame) -> DataFrame:

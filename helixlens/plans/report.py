@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import QcConfig
-from ..functions.columns import verdict
+from ..functions.columns import least_code, verdict
 from ..operators import positions, reads as by_read, sequences
 
 
@@ -32,7 +32,7 @@ def statuses(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
     lengths = reads.agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"))
     on = lambda level: F.lit(cfg.limit(f"sequence_length:{level}") != 0)
     quality = by_read.per_sequence_quality(reads)
-    offset = reads.agg(F.min(F.array_min(F.transform(F.split("qual", ""), F.ascii))).alias("least")).select(F.when(F.col("least") < 64, 33).otherwise(64).alias("offset"))
+    offset = reads.agg(F.min(least_code(F.col("qual"))).alias("least")).select(F.when(F.col("least") < 64, 33).otherwise(64).alias("offset"))
     kmers = sequences.kmer_enrichment(reads, cfg)
     first = F.max_by("p_value", F.struct("max_obs_exp", F.expr("transform(split(sequence, ''), x -> -ascii(x))")))
     strength = F.when(F.count(F.lit(1)) == 0, 1.0).when(first <= 0, math.inf).otherwise(-F.log10(first))

@@ -1,6 +1,7 @@
 """Scalar functions, configuration and position grouping."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from helixlens.cli import config, parse
 from helixlens.config import GroupKind, QcConfig, parse_dictionary, parse_limits, split_by_space
 from helixlens.functions.columns import group_bounds, length_step, reverse_complement
 from helixlens.functions.contaminants import longest_run, match
+from helixlens.functions.range_coder import decode, encode, range_decode, range_encode
 from helixlens.functions.stats import binomial_cdf
+from helixlens.operators.positions import least_percentile
 
 
 def test_tokenizer():
@@ -101,3 +104,17 @@ def test_command_line(tmp_path):
     assert cfg.adapters == [("mine", "ACGT")] and cfg.limit("kmer:warn") == 3 and cfg.grouping is GroupKind.NONE
     with pytest.raises(SystemExit):
         parse([])
+
+
+def test_range_coder(spark):
+    r = random.Random(4)
+    for symbols, alphabet in (([], 5), ([ord(c) for c in "range coder round-tr"], 128), ([r.choice([1, 1, 1, 2, 60000]) for _ in range(3000)], 60_001), ([r.randrange(256) for _ in range(12_000)], 256), ([7] * 20_000, 256)):
+        assert decode(encode(symbols, alphabet), alphabet, len(symbols)) == symbols
+    assert len(encode([7] * 20_000, 256)) < 1000
+    rows = spark.createDataFrame([(b"hello hello hello",), (b"",), (None,)], "x binary").select("x", range_decode(range_encode(F.col("x"))).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in rows)
+
+
+def test_least_percentile(spark):
+    rows = spark.createDataFrame([(i, "@a", "AC", "5!" if i % 2 else "I+") for i in range(1, 202)], "read_idx long, id string, seq string, qual string")
+    assert least_percentile(rows, 25).first()[0] == 0 and least_percentile(rows.limit(50), 25).first()[0] == 1000

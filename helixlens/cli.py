@@ -22,7 +22,7 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-l", "--limits", type=Path, help="thresholds: module, level, value")
     p.add_argument("-o", "--output", type=Path, default=Path("qc_report.txt"), help="text report")
     p.add_argument("-g", "--grouping", choices=[k.value for k in GroupKind], default=GroupKind.LINEAR.value)
-    p.add_argument("--compat-keys", action="store_true", help="JSON with the shared report names")
+    p.add_argument("--compat-keys", action="store_true", help="the shared names of two pairs of reports")
     return p.parse_args(args)
 
 
@@ -44,7 +44,7 @@ def main(args: list[str] | None = None) -> None:
     texts = []
     for file in options.files:
         reports = build(read_fastq(spark, file), cfg)
-        texts.append(to_text(reports))
+        texts.append(to_text(reports, options.compat_keys))
         print(to_json(reports, options.compat_keys))
     options.output.write_text("".join(texts))
 

@@ -106,33 +106,136 @@ def build(reads: DataFrame, cfg: QcConfig | None = None) -> list[Report]:
 
 
 def _plain(x) -> str:
+    """A value as text: whole numbers without a fraction, missing ones as NaN."""
     if x is None:
         return "NaN"
     return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
 
 
-def to_text(reports: list[Report]) -> str:
+def _span(row: dict, lower: str, upper: str) -> str:
+    return f"{row[lower]}" if row[lower] == row[upper] else f"{row[lower]}-{row[upper]}"
+
+
+def _table(head: str | None, *cells):
+    """Lines of a report: a header, then a line for each row; cells are column names or functions of a row."""
+
+    def lines(rows: list[dict]) -> list[str]:
+        body = ["\t".join(c(r) if callable(c) else _plain(r[c]) for c in cells) for r in rows]
+        return body if head is None else [head, *body]
+
+    return lines
+
+
+def _base(row: dict) -> str:
+    return _span(row, "lower_base", "upper_base")
+
+
+def _basic_lines(rows: list[dict]) -> list[str]:
+    r = rows[0]
+    parts = (("Encoding", r["encoding"]), ("Total Sequences", r["total_sequence"]), ("Filtered Sequences", r["filtered_sequence"]),
+             ("Sequence length", _span(r, "sequence_min_length", "sequence_max_length")), ("%GC", r["gc_percent"]))
+    return [f"{k}\t{_plain(v)}" for k, v in parts]
+
+
+def _duplication_lines(rows: list[dict]) -> list[str]:
+    table = _table("#Duplication Level\tPercentage of deduplicated\tPercentage of total\n", "label", "deduplicated_percentage", "total_percentage")
+    return ["#Total Deduplicated Percentage", _plain(rows[0]["total_dedup_percentage"]), *table(rows)]
+
+
+def _by_adapter(rows: list[dict]) -> tuple[list[str], list[tuple[int, int]], dict]:
+    names = list(dict.fromkeys(r["adapter"] for r in rows))
+    groups = list(dict.fromkeys((r["lower_base"], r["upper_base"]) for r in rows))
+    return names, groups, {(r["adapter"], r["lower_base"]): r["enrichment"] for r in rows}
+
+
+def _adapter_lines(rows: list[dict]) -> list[str]:
+    names, groups, at = _by_adapter(rows)
+    return ["\t".join(["#Position", *names])] + ["\t".join([f"{lo}" if lo == hi else f"{lo}-{hi}", *(_plain(at[n, lo]) for n in names)]) for lo, hi in groups]
+
+
+#: Text bodies by report. Headers are fixed values.
+BODIES = {
+    "Basic Statistics": _basic_lines,
+    "Per base sequence quality": _table(None, _base, "mean", "median", "lower_quartile", "upper_quartile", "percentile_10", "percentile_90"),
+    "Per tile sequence quality": _table("Tile\tBase\tMean", "tile", _base, "deviation"),
+    "Per sequence quality scores": _table(None, "score", "count"),
+    "Per base sequence content": _table("#Base\tG\tA\tT\tC", _base, "g_percent", "a_percent", "t_percent", "c_percent"),
+    "Per sequence GC content": _table("#GC Content\tCount", "gc_pct", "count"),
+    "Per base N content": _table("#Base\tN-Count", _base, "percentage"),
+    "Sequence Length Distribution": _table("#Length Count", lambda r: _span(r, "lower_length", "upper_length"), "count"),
+    "Sequence Duplication Levels": _duplication_lines,
+    "Overrepresented sequences": _table("#Sequence\tCount\tPercentage\tPossible Source", "seq", "count", "percentage", "possible_source"),
+    "Adapter Content": _adapter_lines,
+    "Kmer Content": _table("#Sequence\tCount\tPValue\tObs/Exp Max\tMax Obs/Exp Position", "sequence", "count", "p_value", "max_obs_exp", lambda r: _span(r, "max_lower_position", "max_upper_position")),
+}
+
+
+def _dicts(r: Report) -> list[dict]:
+    return [dict(zip(r.columns, row, strict=True)) for row in r.rows]
+
+
+def to_text(reports: list[Report], compat_keys: bool = False) -> str:
     """Sections between >>name<tab>status and >>END_MODULE; a position range is written n or lo-hi."""
     lines = []
     for r in reports:
-        lines.append(f">>{r.name}\t{r.status}")
-        lo = next((i for i, c in enumerate(r.columns) if c.startswith("lower_") and c in ("lower_base", "lower_length")), None)
-        heads = [c for i, c in enumerate(r.columns) if lo is None or i != lo + 1]
-        lines.append("#" + "\t".join(heads))
-        for row in r.rows:
-            cells = [_plain(x) for x in row]
-            if lo is not None:
-                cells[lo : lo + 2] = [cells[lo] if cells[lo] == cells[lo + 1] else f"{cells[lo]}-{cells[lo + 1]}"]
-            lines.append("\t".join(cells))
-        lines.append(">>END_MODULE")
+        name = COMPATIBLE.get(r.name, r.name) if compat_keys else r.name
+        lines += [f">>{name}\t{r.status}", *(BODIES[r.name](_dicts(r)) if r.rows or r.name == "Kmer Content" else []), ">>END_MODULE"]
     return "\n".join(lines) + "\n"
 
 
+def _groups(rows: list[dict]) -> list[dict]:
+    seen = dict.fromkeys((r["lower_base"], r["upper_base"]) for r in rows)
+    return [{"lower_count": lo, "upper_count": hi} for lo, hi in seen]
+
+
+def _pick(*columns: str, **renamed: str):
+    return lambda rows: [{c: r[c] for c in columns} | {new: r[old] for new, old in renamed.items()} for r in rows]
+
+
+def _tiles(rows: list[dict]) -> dict:
+    by = {}
+    for r in rows:
+        by.setdefault(r["tile"], []).append(r["deviation"])
+    return {"tiles": list(by), "groups": _groups(rows), "qualities": list(by.values())}
+
+
+def _adapters(rows: list[dict]) -> dict:
+    names, groups, at = _by_adapter(rows)
+    return {"groups": _groups(rows), "adapter_names": names, "enrichments": [[at[n, lo] for lo, _ in groups] for n in names]}
+
+
+_BASIC = ("encoding", "total_sequence", "filtered_sequence", "sequence_min_length", "sequence_max_length", "gc_percent")
+_QUALITY = ("lower_base", "upper_base", "mean", "median", "lower_quartile", "upper_quartile", "percentile_10", "percentile_90")
+#: JSON fields by report, beside status.
+FIELDS = {
+    "Basic Statistics": lambda rows: _pick(*_BASIC)(rows)[0],
+    "Per base sequence quality": lambda rows: {"quality_data": _pick(*_QUALITY)(rows)},
+    "Per tile sequence quality": _tiles,
+    "Per sequence quality scores": lambda rows: {"qualities": [[r["score"], r["count"]] for r in rows]},
+    "Per base sequence content": lambda rows: {"group": _groups(rows), "percents": [[r[f"{b}_percent"] for b in "gatc"] for r in rows]},
+    "Per sequence GC content": lambda rows: {"gc_distribution": [r["count"] for r in rows], "theoretical_distribution": [r["theoretical"] for r in rows]},
+    "Per base N content": lambda rows: {"groups": _groups(rows), "percentages": [r["percentage"] for r in rows]},
+    "Sequence Length Distribution": lambda rows: {"length_counts": _pick(lower_count="lower_length", upper_count="upper_length", value="count")(rows)},
+    "Sequence Duplication Levels": lambda rows: {"total_dedup_percentage": rows[0]["total_dedup_percentage"], "duplication_levels": _pick("label", "deduplicated_percentage", "total_percentage")(rows)},
+    "Overrepresented sequences": lambda rows: {"over_represented": _pick("seq", "count", "percentage", "possible_source")(rows)},
+    "Adapter Content": _adapters,
+    "Kmer Content": lambda rows: {"kmers": _pick("sequence", "count", "p_value", "max_obs_exp", "max_lower_position", "max_upper_position")(rows)},
+}
+
+
+def _finite(x):
+    """x without what JSON has no number for."""
+    if isinstance(x, dict):
+        return {k: _finite(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_finite(v) for v in x]
+    return None if isinstance(x, float) and not math.isfinite(x) else x
+
+
 def to_json(reports: list[Report], compat_keys: bool = False) -> str:
     """One object keyed by report name. compat_keys: shared names, so that the later of two reports replaces the earlier."""
-    clean = lambda x: None if isinstance(x, float) and not math.isfinite(x) else x
     out = {}
     for r in reports:
         key = COMPATIBLE.get(r.name, r.name) if compat_keys else r.name
-        out[key] = {"status": r.status, "rows": [dict(zip(r.columns, map(clean, row), strict=True)) for row in r.rows]}
+        out[key] = {"status": r.status} | _finite(FIELDS[r.name](_dicts(r)))
     return json.dumps(out, indent=2, sort_keys=True)

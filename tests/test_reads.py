@@ -156,6 +156,14 @@ def test_reports(spark):
     assert text.startswith(">>Basic Statistics\tPass\n") and text.count(">>END_MODULE") == len(reports) == 12
     assert len(plain) == 12 and len(json.loads(to_json(reports, compat_keys=True))) == 10
     assert {r["status"] for r in plain.values()} <= {"Pass", "Warn", "Fail"}
+    sections = {x.split("\t")[0]: x.split("\n")[1:-1] for x in text.split(">>")[1:] if not x.startswith("END")}
+    assert sections["Basic Statistics"] == ["Encoding\tSanger / Illumina 1.9", "Total Sequences\t120", "Filtered Sequences\t0", "Sequence length\t31", "%GC\t25"]
+    assert sections["Per base sequence content"][:2] == ["#Base\tG\tA\tT\tC", "1\t0\t100\t0\t0"]
+    assert sections["Sequence Length Distribution"] == ["#Length Count", "30\t0", "31\t120", "32\t0"]
+    assert sections["Adapter Content"][0].startswith("#Position\tIllumina Universal Adapter\t") and len(sections["Adapter Content"]) == 20
+    assert len(plain["Per sequence GC content"]["gc_distribution"]) == 101 and plain["Sequence Length Distribution"]["length_counts"][1]["value"] == 120
+    assert len(plain["Adapter Content"]["enrichments"]) == 5 and plain["Overrepresented sequences"]["over_represented"][0]["count"] == 60
+    assert len(plain["Per tile sequence quality"]["tiles"]) == len(plain["Per tile sequence quality"]["qualities"]) == 3
 
 
 def test_stream(spark, tmp_path):

@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, map_rows, mix64, piece_hash, prefix_hash, signed, tasks, text_of
+from .common import documents, durable, map_rows, mix64, piece_hash, prefix_hash, signed, sliced, tasks, text_of
 
 LENGTH = 200
 ANCHOR_SPAN = 150
 #: Bytes of suffix entries that a task sorts at a time.
 RUN_BYTES = 24 << 20
+#: A GRAM in more documents than this is hot: its entries travel without their places, which are joined to results.
+HOT_DOCUMENTS = 20_000
 #: Receiving groups for each shuffle partition.
 GROUPS_A_TASK = 2
 
@@ -190,8 +192,46 @@ def _grams(length: int, span: int):
     return make
 
 
-def _runs(length: int, span: int, groups: int):
-    """A task: suffix entries of its documents' suspected anchors, as front-coded sorted runs per receiving group."""
+def _entries(batches, length: int, span: int) -> Iterator[tuple[bytes, bytes, tuple[int, int, int]]]:
+    """(key, left context, place) of each anchor of batches(doc_id, code, text, wanted) whose GRAM is wanted."""
+    for batch in batches:
+        for doc_id, code, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            raw = np.frombuffer(text, np.uint8)
+            at, lo, hi = anchors(raw, length, span)
+            grams = gram_hashes(raw, at, length - span + 1)
+            for i in np.flatnonzero(np.isin(grams, np.array(wanted, np.int64).view(np.uint64))).tolist():
+                a, first = int(at[i]), int(lo[i])
+                yield int(grams[i]).to_bytes(8, "big") + text[a : int(hi[i]) + length], text[first:a], (doc_id, code, first)
+
+
+def entry_id(key: bytes, left: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(len(left).to_bytes(4, "big") + left + key)
+
+
+def _places(length: int, span: int):
+    """A task: id and place of its documents' hot entries."""
+
+    def run(batches):
+        rows = []
+        for key, left, (doc_id, code, first) in _entries(sliced(batches), length, span):
+            rows.append({"entry": entry_id(key, left), "doc_id": doc_id, "code": code, "at": first})
+            if len(rows) == 10_000:
+                yield pa.RecordBatch.from_pylist(rows, _PLACE)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _PLACE)
+
+    return run
+
+
+_PLACE = pa.schema([("entry", pa.binary()), ("doc_id", pa.int64()), ("code", pa.int64()), ("at", pa.int64())])
+
+
+def _runs(length: int, span: int, groups: int, places: bool = True):
+    """A task: suffix entries of its documents' suspected anchors, as front-coded sorted runs per receiving group.
+
+    Without places, an entry has their number only, up to two.
+    """
 
     def flush(entries: dict):
         order = sorted(entries)
@@ -208,29 +248,27 @@ def _runs(length: int, span: int, groups: int):
     def run(batches):
         entries: dict[tuple[bytes, bytes], list] = {}
         size = 0
-        for batch in batches:
-            for doc_id, code, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = np.frombuffer(text, np.uint8)
-                at, lo, hi = anchors(raw, length, span)
-                grams = gram_hashes(raw, at, length - span + 1)
-                for i in np.flatnonzero(np.isin(grams, np.array(wanted, np.int64).view(np.uint64))).tolist():
-                    a, first = int(at[i]), int(lo[i])
-                    key = int(grams[i]).to_bytes(8, "big") + text[a : int(hi[i]) + length]
-                    entries.setdefault((key, text[first:a]), []).append((doc_id, code, first))
-                    size += len(key) + a - first
-                if size > RUN_BYTES:
-                    yield from flush(entries)
-                    entries, size = {}, 0
+        for key, left, place in _entries(sliced(batches), length, span):
+            own = entries.get((key, left))
+            if own is None:
+                entries[key, left] = [place if places else None]
+                size += len(key) + len(left)
+            elif places or len(own) < 2:
+                own.append(place if places else None)
+            if size > RUN_BYTES:
+                yield from flush(entries)
+                entries, size = {}, 0
         yield from flush(entries)
 
     return run
 
 
+HOT_SPANS = "entry binary, first long, last long"
 SPANS = "doc_id long, code long, first long, last long"
 
 
-def _combine(length: int):
-    """A receiving task: merges its runs and finds the repeated windows of each cluster."""
+def _combine(length: int, places: bool = True):
+    """A receiving task: merges its runs and finds the repeated windows of each cluster, at their places or by entry."""
 
     def clusters(runs):
         """Per GRAM: rights, lefts, common prefixes and occurrences of the distinct entries, in order."""
@@ -238,13 +276,14 @@ def _combine(length: int):
         for key, h, (left, own) in merged([decoded(x) for x in runs]):
             if key[:8] != gram:
                 if gram is not None:
-                    yield rights, lefts, shared, where
+                    yield gram, rights, lefts, shared, where
                 gram, rights, lefts, shared, where = key[:8], [], [], [], []
             right = key[8:]
             if rights and h == len(key) == len(rights[-1]) + 8:
                 twin = twins.get(left)
                 if twin is not None:
-                    where[twin] = where[twin] + own
+                    if own[0] is not None or len(where[twin]) < 2:
+                        where[twin] += own
                     continue
             else:
                 twins = {}
@@ -254,17 +293,22 @@ def _combine(length: int):
             shared.append(max(0, h - 8))
             where.append(own)
         if gram is not None:
-            yield rights, lefts, shared, where
+            yield gram, rights, lefts, shared, where
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for rights, lefts, shared, where in clusters(rows["run"]):
+        for gram, rights, lefts, shared, where in clusters(rows["run"]):
             many = [len(x) > 1 for x in where]
             if len(rights) == 1 and not many[0]:
                 continue
-            for left, own, ranges in zip(lefts, where, repeated_windows(rights, lefts, shared, many, length), strict=True):
+            for right, left, own, ranges in zip(rights, lefts, where, repeated_windows(rights, lefts, shared, many, length), strict=True):
                 for near, far in ranges:
-                    out += [(i, code, first + len(left) - far, first + len(left) - near) for i, code, first in own]
+                    if places:
+                        out += [(i, code, first + len(left) - far, first + len(left) - near) for i, code, first in own]
+                    else:
+                        out.append((entry_id(gram + right, left), len(left) - far, len(left) - near))
+        if not places:
+            return pd.DataFrame(out, columns=["entry", "first", "last"])
         return pd.DataFrame(out, columns=["doc_id", "code", "first", "last"]).astype({"doc_id": "Int64"})
 
     return run
@@ -293,7 +337,7 @@ def _cut(length: int):
     return make
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = ANCHOR_SPAN) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = ANCHOR_SPAN, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """One row per row of docs: doc_id, kept (bytes left), n_bytes, spans (maximal removed runs, ends exclusive).
 
     Texts are UTF-8 bytes, null is empty. A byte goes when it is covered by a string of `length` bytes that starts
@@ -309,19 +353,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal = grams.groupBy("whole").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     equal = durable(grams.filter(F.size("grams") > 0).select("doc_id", "code", "whole").join(equal, "whole").select("doc_id", "code", (first == F.col("first")).alias("leads")))
     # A GRAM that a document has at several anchors is suspected even if no other document has it.
-    counted = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    listed = grams.select("doc_id", F.explode("grams").alias("gram")).join(counted, "gram")
-    listed = listed.select("doc_id", "gram").unionByName(grams.select("doc_id", F.explode("twice").alias("gram")))
-    wanted = listed.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("gram").alias("wanted"))
+    counted = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > hot_documents).alias("hot"))
+    listed = grams.select("doc_id", F.explode("grams").alias("gram")).join(counted, "gram").select("doc_id", "gram", "hot")
+    # Of these, the ones that are hot are in the list above as well: there they count as hot.
+    listed = listed.unionByName(grams.select("doc_id", F.explode("twice").alias("gram"), F.lit(False).alias("hot")))
+    wanted = listed.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("gram").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     copies = equal.filter("not leads").select(F.col("doc_id").alias("copy_id"), F.col("code").alias("copy_code"))
     groups = GROUPS_A_TASK * tasks(docs)
     suspected = (
         coded.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))
         .join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("code") == F.col("copy_code")), "left_anti")
-        .select("doc_id", "code", "text", "wanted")
+        .select("doc_id", "code", "text", F.array_except("wanted", "hot").alias("wanted"), "hot")
     )
-    runs = suspected.mapInArrow(_runs(length, span, groups), "part long, run binary")
+    runs = suspected.select("doc_id", "code", "text", "wanted").mapInArrow(_runs(length, span, groups), "part long, run binary")
     found = runs.groupBy("part").applyInPandas(_combine(length), SPANS)
+    # Hot entries: one of each travels, however many places it has; its windows come back to the places by a join.
+    hot = suspected.filter(F.size("hot") > 0).select("doc_id", "code", "text", F.col("hot").alias("wanted"))
+    hot_runs = hot.mapInArrow(_runs(length, span, groups, places=False), "part long, run binary")
+    hot_found = hot_runs.groupBy("part").applyInPandas(_combine(length, places=False), HOT_SPANS)
+    places = hot.mapInArrow(_places(length, span), "entry binary, doc_id long, code long, at long")
+    hot_found = places.join(hot_found, "entry").select("doc_id", "code", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))
+    found = found.unionByName(hot_found)
     whole = equal.select("doc_id", "code", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
     spans = found.unionByName(whole).groupBy(F.col("doc_id").alias("id"), F.col("code").alias("c")).agg(F.collect_list(F.struct("first", "last")).alias("found"))
     both = coded.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("code") == F.col("c")), "left").select("doc_id", "text", "code", "found")

@@ -115,8 +115,9 @@ def test_suffix_dedup_small_alphabet(spark, seed):
     pool = ["".join(r.choice(list("ab"), 40)) for _ in range(6)]
     texts = ["".join(pool[k][r.integers(0, 12) : r.integers(20, 40)] for k in r.integers(0, 6, r.integers(0, 9))) for _ in range(40)] + ["a" * 100, "ab" * 60]
     want = brute_repeats([t.encode() for t in texts], 24)
-    got = removed(suffix_dedup.remove_repeats(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), length=24, span=16))
-    assert got == Counter((i, *w) for i, w in enumerate(want))
+    df = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for hot in (10**6, 5, 0):  # no, some and all suspected strings are handled as hot ones
+        assert removed(suffix_dedup.remove_repeats(df, length=24, span=16, hot_documents=hot)) == Counter((i, *w) for i, w in enumerate(want))
 
 
 def test_loser_tree():

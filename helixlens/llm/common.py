@@ -76,6 +76,24 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     )
 
 
+#: A key with more than this share of the rows is hot.
+HOT_SHARE = 1 / 4096
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> DataFrame:
+    """rows.join(keyed, key), keyed having one row a key whose column `size` is at most the number of its rows.
+
+    Hot keys are at most 1 / HOT_SHARE whatever the size of the tables, so they are broadcast and their rows stay where
+    they are. Of each other key at most HOT_SHARE of all rows meet in a shuffle.
+    """
+    rows = rows.filter(F.col(key).isNotNull())
+    hot = F.col(size) > rows.agg(F.count(F.lit(1)) * HOT_SHARE).scalar()
+    # An outer join with a mark: an anti join would be moved below an exchange of rows, which could then not be reused.
+    marks = F.broadcast(keyed.filter(hot).select(key, F.lit(True).alias("__hot")))
+    few = rows.join(marks, key, "left").filter(F.col("__hot").isNull()).drop("__hot")
+    return rows.join(F.broadcast(keyed.filter(hot)), key).unionByName(few.join(keyed.filter(~hot), key))
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session: what a stage is dealt over."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

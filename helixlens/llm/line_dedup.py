@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, sliced, text_of
+from .common import documents, join_counted, map_rows, sliced, text_of
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -141,16 +141,15 @@ def dedup_lines(
 
         return one
 
-    # Used twice below: both read the one exchange of distinct().
+    # Used several times below: all read the one exchange of distinct().
     suspected = map_rows(rows, suspects, "doc_id long, digest binary").distinct()
     repeated = (
         suspected.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_documents)
-        .select("digest", "keeper")
     )
     lost = (
-        suspected.join(repeated, "digest")
+        join_counted(suspected, repeated, "digest", "n")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.collect_list("digest").alias("lost"))

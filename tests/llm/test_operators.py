@@ -101,6 +101,14 @@ def removed(df):
     return by_row(rows, "doc_id", "n_bytes", "n", "s", "sha")
 
 
+@pytest.mark.parametrize("copies", [0, 1, 4000])
+def test_join_counted(spark, copies):
+    rows = spark.range(2 * copies).select((F.col("id") % 2 * (1 + F.col("id"))).alias("k"), F.col("id").alias("x"))
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("top")).filter("k <> 4")
+    found = common.join_counted(rows, keyed, "k", "n")
+    assert sorted(map(tuple, found.select("k", "x", "n", "top").collect())) == sorted(map(tuple, rows.join(keyed, "k").select("k", "x", "n", "top").collect()))
+
+
 def test_suffix_dedup(docs, empty):
     rows = awkward()
     want = brute_repeats([(t or "").encode() for _, t, _ in rows], 200)

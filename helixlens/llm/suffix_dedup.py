@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, map_rows, mix64, piece_hash, prefix_hash, signed, sliced, tasks, text_of
+from .common import documents, durable, join_counted, map_rows, mix64, piece_hash, prefix_hash, signed, sliced, tasks, text_of
 
 LENGTH = 200
 ANCHOR_SPAN = 150
@@ -350,11 +350,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = durable(map_rows(coded, _grams(length, span), "doc_id long, code long, whole binary, grams array<long>, twice array<long>"))
     # Of equal long texts all goes; only the first takes part in the search, for what others share with it.
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    equal = grams.groupBy("whole").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    equal = durable(grams.filter(F.size("grams") > 0).select("doc_id", "code", "whole").join(equal, "whole").select("doc_id", "code", (first == F.col("first")).alias("leads")))
+    long = grams.filter(F.size("grams") > 0).select("doc_id", "code", "whole")
+    equal = long.groupBy("whole").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    equal = durable(join_counted(long, equal, "whole", "n").select("doc_id", "code", (first == F.col("first")).alias("leads")))
     # A GRAM that a document has at several anchors is suspected even if no other document has it.
-    counted = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", (F.col("n") > hot_documents).alias("hot"))
-    listed = grams.select("doc_id", F.explode("grams").alias("gram")).join(counted, "gram").select("doc_id", "gram", "hot")
+    counted = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("hot", F.col("n") > hot_documents)
+    listed = join_counted(grams.select("doc_id", F.explode("grams").alias("gram")), counted, "gram", "n").select("doc_id", "gram", "hot")
     # Of these, the ones that are hot are in the list above as well: there they count as hot.
     listed = listed.unionByName(grams.select("doc_id", F.explode("twice").alias("gram"), F.lit(False).alias("hot")))
     wanted = listed.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("gram").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot"))

@@ -344,6 +344,15 @@ def test_secrets(docs, empty):
     assert secrets.secret_spans(empty).count() == 0
 
 
+def test_secrets_long_and_many_members():
+    key = b"password = hunter2hunter2"
+    wrapped = lambda raw: f"see {base64.b64encode(raw).decode()} there"
+    long = b"\xc3\xa9 words, and more of them.\n" * 700_000  # over 16 MB; a cut would fall inside a character
+    for raw in (gzip.compress(b"first") + gzip.compress(key), gzip.compress(long + key), gzip.compress(gzip.compress(long + b"\n" + base64.b64encode(zlib.compress(key)))), zlib.compress(key + b" " + long)):
+        text = wrapped(raw)
+        assert [x for x in secrets.find_secrets(text)[1] if x[1] == 0 and x[2] - x[0] > 30] == [(4, 0, len(text) - 6)]
+
+
 def base_spans(text):
     """The contract's base rules word by word."""
     out = []

@@ -353,6 +353,20 @@ def test_secrets_long_and_many_members():
         assert [x for x in secrets.find_secrets(text)[1] if x[1] == 0 and x[2] - x[0] > 30] == [(4, 0, len(text) - 6)]
 
 
+def test_secrets_in_mixed_layers():
+    key = "password = hunter2hunter2"
+    deep = base64.b64encode(key.encode()).decode()
+    packed = [gzip.compress(f"note {key}".encode()), zlib.compress(f"note {key}".encode())]
+    layers = [base64.b64encode(f"{x} {y}".encode(code)).decode() for x in ("\u00a0", "\x0c", "\0", "caf\xe9") for y in (key, deep) for code in ("utf-8", "latin-1")]
+    layers += [base64.b64encode(f"{x} {key}".encode()).decode() for x in ("\u3000", "\u200b", "\ufeff", "\xad")]
+    layers += [base64.b64encode(zlib.compress(f"\ufeff{key}".encode())).decode(), base64.b64encode(b"\1\2\3" + packed[0]).decode()]
+    for raw in packed:
+        layers += [urllib.parse.quote(raw), urllib.parse.quote_plus(raw), "".join(f"%{x:02X}" for x in raw), "".join(f"\\x{x:02x}" for x in raw), repr(raw)[2:-1]]
+    for text in layers:
+        found = [(s, e) for s, k, e in secrets.find_secrets(f"see <{text}> there")[1] if k == 0]
+        assert found and all(5 <= s < e <= 5 + len(text) for s, e in found), text
+
+
 def base_spans(text):
     """The contract's base rules word by word."""
     out = []

@@ -367,6 +367,17 @@ def test_secrets_in_mixed_layers():
         assert found and all(5 <= s < e <= 5 + len(text) for s, e in found), text
 
 
+def test_secrets_wrapped_and_glued():
+    key = "password = hunter2hunter2"
+    lines = [base64.encodebytes(gzip.compress(np.random.default_rng(0).bytes(150) + key.encode())).decode(), base64.encodebytes(f"{'long ' * 10}{key}".encode()).decode()]
+    blob = base64.b64encode(f"{'words ' * 30}{key}".encode()).decode()
+    lines += ["\r\n".join(blob[i : i + 64] for i in range(0, len(blob), 64)), "\\n".join(blob[i : i + 76] for i in range(0, len(blob), 76)), "\n".join(blob[i : i + 16] for i in range(0, len(blob), 16)) + "\nwords"]
+    lines += [f"{'glued'[:n]}{c}{blob.rstrip('=')}" for n in range(5) for c in "/_-x"] + [blob.rstrip("=") + "tail"[:n] for n in range(5)]
+    for text in lines:
+        found = [(s, e) for s, k, e in secrets.find_secrets(f"see <{text}> there")[1] if k == 0]
+        assert found and all(5 <= s < e <= 5 + len(text) for s, e in found), text
+
+
 def base_spans(text):
     """The contract's base rules word by word."""
     out = []

@@ -447,6 +447,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity_scores(docs, *toxicity.fit(docs, odd)).count() == len(awkward())
 
 
+def test_toxicity_keeps_words_apart(spark):
+    """A toxic word and an ordinary one whose hashes begin with the same 21 bits."""
+    names = [f"word{i:07d}" for i in range(1 << 20)]
+    code = common.word_hashes(" ".join(names).encode()) >> np.uint64(43)
+    order = np.argsort(code, kind="stable")
+    at = int(np.flatnonzero(np.diff(code[order]) == 0)[0])
+    bad, good = (names[k] for k in order[at : at + 2])
+    filler = ["these", "are", "plain", "and", "usual"]
+    rows = [(i, " ".join([*filler, f"own{i}", *([bad] * 3 if i % 4 == 0 else [good] * 3)]), "s") for i in range(200)]
+    marked = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, label int")
+    df = docs_of(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(df, *toxicity.fit(df, marked)).collect()}
+    assert len(got) == 200 and all((s > 0.5) == (i % 4 == 0) for i, s in got.items())
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

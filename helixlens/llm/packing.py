@@ -2,7 +2,8 @@
 
 Each task tokenises its documents and packs them best-fit, longest first, by itself. Nearly full bins are final. The
 others travel up a tree as items: every round packs the open bins of FAN_IN neighbours best-fit again and closes what
-has become nearly full. Only descriptions of open bins move in the tree; pieces learn their place by one join.
+has become nearly full. More open bins than one task should hold are dealt at random over several, so that each gets a
+share of every size, and at the root that is repeated until no bins fit together. Only descriptions of open bins move in the tree; pieces learn their place by one join.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ END = 2
 SLACK = 4
 #: Neighbours whose open bins meet in one task of a round.
 FAN_IN = 16
-#: Open bins that a task hands up at most; the emptiest go first, the others are final as they are.
-HANDED_UP = 20_000
+#: Open bins that meet in one task, about; more are dealt over several tasks.
+TASK_BINS = 100_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -130,11 +131,7 @@ def _merge(capacity: int, slack: int):
         members: list[list] = [[] for _ in used]
         for i, (b, at) in enumerate(zip(bins, offsets, strict=True)):
             members[b] += [{"bin": int(m["bin"]), "base": int(m["base"]) + at} for m in rows["members"][i]]
-        out = pd.DataFrame({"part": rows["part"].iloc[0], "used": used, "members": members, "open": [u < capacity - slack for u in used]})
-        again = out.index[out["open"]]
-        if len(again) > HANDED_UP:
-            out.loc[out.loc[again].sort_values("used").index[HANDED_UP:], "open"] = False
-        return out
+        return pd.DataFrame({"part": rows["part"].iloc[0], "used": used, "members": members, "open": [u < capacity - slack for u in used]})
 
     return run
 
@@ -160,13 +157,27 @@ def pack(
         )
     )
     parts = (placed.agg(F.max("bin")).first()[0] or 0) >> 32
-    done = None
-    while parts > 0:
+    done, rounds, root = None, 0, parts == 0
+    while not root:
         parts //= FAN_IN
-        grouped = durable(open_bins.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long")).groupBy("part").applyInPandas(_merge(capacity, slack), BINS))
-        closed = grouped if parts == 0 else grouped.filter(~F.col("open"))
-        done = closed if done is None else done.unionByName(closed)
-        open_bins = grouped.filter("open")
+        open_bins = open_bins.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("long"))
+        while True:
+            count = open_bins.groupBy("part").count().agg(F.max("count"), F.sum("count")).first()
+            deals, rounds = -(-(count[0] or 0) // TASK_BINS) or 1, rounds + 1
+            deal = F.pmod(F.xxhash64(F.col("members")[0]["bin"], F.lit(rounds)), F.lit(deals))
+            grouped = durable(open_bins.withColumn("deal", deal).groupBy("part", "deal").applyInPandas(_merge(capacity, slack), BINS))
+            root = parts == 0
+            # At the root, what the least bin does not fit into is final; the others meet anew in other tasks, until none fit together.
+            still = F.col("open")
+            if root:
+                least = grouped.filter("open").agg(F.min("used")).first()[0] or 0
+                last = deals == 1 or grouped.count() == count[1]
+                still = F.lit(False) if last else still & (F.col("used") + least <= capacity)
+            closed = grouped.filter(~still)
+            done = closed if done is None else done.unionByName(closed)
+            open_bins = grouped.filter(still)
+            if not root or last:
+                break
     if done is None:
         done = open_bins
     moved = (

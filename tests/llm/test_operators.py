@@ -311,6 +311,26 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_keeps_bins_open():
+    import pandas as pd
+
+    rows = pd.DataFrame({"part": 0, "used": [600] * 30_000, "members": [[{"bin": i, "base": 0}] for i in range(30_000)], "open": True})
+    assert packing._merge(1024, 4)(rows)["open"].sum() == 30_000
+
+
+@pytest.mark.parametrize("most", [8, 10**6])
+def test_packing_of_dealt_bins(spark, monkeypatch, most):
+    """Bins of 600 tokens and of 400 by turns; tasks may hold few or all of them."""
+    monkeypatch.setattr(packing, "TASK_BINS", most, raising=False)
+    rows = [(i, "a " * (400 if i % 2 else 600), "s") for i in range(64)]
+    got = packing.pack(docs_of(spark, rows).repartitionByRange(64, "doc_id")).collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == 64 and all(sum(n for _, n in x) == max(a + n for a, n in x) <= 1024 for x in places.values())
+    assert len(places) <= 40
+
+
 def test_best_fit():
     r = np.random.default_rng(0)
     for sizes in ([], [5], [1024] * 3, r.integers(1, 1024, 500).tolist(), r.integers(1, 60, 500).tolist()):

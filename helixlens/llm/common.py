@@ -2,7 +2,7 @@
 
 Conventions that hold for every operator here:
 
-* Only the columns an operator names are read, so further columns, whatever their names, never clash.
+* Only the columns an operator names are read, and whole rows travel as one struct, so further columns never clash.
 * A null text is an empty text; a null id is an id of its own that sorts after all others.
 * A repeated id means several documents: each row counts and gets its own result row.
 """
@@ -32,17 +32,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset (tests) a folder of our own is used.
-    """
+    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session (a test) gets one of its own; a cluster has none to fall back on."""
     named, sc = spark.conf.get("spark.checkpoint.dir", ""), spark.sparkContext
     if not named and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="helixlens-"))
     return named or sc.getCheckpointDir()
 
@@ -54,6 +54,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_of(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -63,17 +71,60 @@ def row_key(id_col: Column, code: Column) -> Column:
     return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), code)
 
 
+def repeat_rows(docs: DataFrame, counted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs, columns unchanged; counted(doc_id, code, n) has a row for each, which appears n times (0: not at all).
+
+    code is xxhash64 of the text. Rows that share id and text are interchangeable to counted: their numbers are added
+    up and given to them in turn, the first ones one more. Rows travel as one struct, so their columns never clash.
+    """
+    key = row_key(F.col("doc_id"), F.col("code"))
+    named = counted.groupBy(key.alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).filter("n > 0")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row_key(F.col(f"`{id_col}`"), F.xxhash64(text_of(f"`{text_col}`"))).alias("key"), whole.alias("row"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    times = F.floor(F.col("n") / F.col("m")).cast("int") + (F.col("turn") <= F.col("n") % F.col("m")).cast("int")
+    return rows.join(named, "key").withColumn("turn", turn).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs that kept(doc_id, code = xxhash64 of the text) names, each as often as it is named."""
-    named = kept.groupBy(row_key(F.col("doc_id"), F.col("code")).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    same = Window.partitionBy("__key").orderBy("__key")
-    return (
-        docs.withColumn("__key", row_key(F.col(id_col), F.xxhash64(text_of(text_col))))
-        .join(named, "__key")
-        .withColumn("__rank", F.row_number().over(same))
-        .filter("__rank <= __n")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    """Rows of docs that kept(doc_id, code, kept) marks; of rows that share id and text as many as are marked."""
+    return repeat_rows(docs, kept.select("doc_id", "code", F.col("kept").cast("int").alias("n")), id_col, text_col)
+
+
+def running_sums(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """df range-sorted by order, with `name = sum of the (long) column over all rows before this one` for each name=column.
+
+    Ranges are written to the shared folder, one partial sum a range (as many as shuffle partitions) goes to the driver,
+    and each task runs along its range with what lies before it, in constant memory: no task sees more than its range.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ranged = df.repartitionByRange(tasks(df), *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    ranged = durable(ranged)
+    own = ranged.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()
+    ahead, at = {}, dict.fromkeys(sums, 0)
+    for row in sorted(own, key=lambda r: r["range"]):
+        ahead[row["range"]] = dict(at)
+        at = {n: at[n] + (row[n] or 0) for n in sums}
+    schema = ranged.drop("range").schema
+    for n in sums:
+        schema = schema.add(n, "long")
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        before = None
+        for batch in batches:
+            if batch.num_rows:
+                before = before or dict(ahead[batch.column("range")[0].as_py()])
+                columns = [batch.column(f.name) for f in out if f.name not in sums]
+                for n, c in sums.items():
+                    values = np.asarray(batch.column(c).fill_null(0))
+                    upto = before[n] + np.cumsum(values)
+                    columns.append(pa.array(upto - values))
+                    before[n] = int(upto[-1])
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return ranged.mapInArrow(run, schema)
 
 
 #: A key with more than this share of the rows is hot.

@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, columns unchanged; of repeated rows one stays."""
-    return keep_rows(docs, exact_dedup(docs, id_col, text_col).filter("kept"), id_col, text_col)
+    return keep_rows(docs, exact_dedup(docs, id_col, text_col), id_col, text_col)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

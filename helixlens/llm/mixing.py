@@ -1,146 +1,148 @@
 """Operator 4: mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a shuffled order, served up to MAX_REPEATS times over. An entry's virtual
-finish time is the words its source has sent up to its end, divided by the source's target. Serving entries by finish
-time and stopping when the word budget is spent serves each source its target. Running sums inside a source are
-taken in two steps, over buckets of the shuffle key and inside each bucket, so that a source with a third of all rows
-is as well spread as any other.
+Every source is a queue of its documents in a shuffled order, served up to MAX_REPEATS times over. What is served has a
+virtual finish time: the words its source has sent up to its end, divided by the source's target. All servings are
+range-sorted by finish time, whatever their source, and the queue is cut where the word budget is spent. So that one
+long document cannot carry a small source far beyond its target, documents are sent in packets of at most a thousandth
+of the target.
+
+Running sums over a whole order (of sources by name, of documents inside their source, of packets by finish time) are
+those of common.running_sums: a range sort, a partial sum a range. No task holds a source, whatever its share of all
+rows, nor all sources, however many there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, durable, text_of
+from .common import WORD, documents, durable, join_counted, repeat_rows, running_sums, text_of
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MAX_REPEATS = 3
-#: Rows of a source that share a bucket of the shuffle key, about.
-BUCKET_ROWS = 1000
+#: A packet has at most so many words for each word of its source's target, and LEAST_PACKET at least.
+PACKET_SHARE, LEAST_PACKET = 1 / 1000, 16
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A key that is never null, and null for no other source than the null one."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Targets of (source, source_size): the total dealt by weight, none above max_repeats * source_size.
+    """Of sources(source, source_size): also `before`, the words of all sources ahead in the order, and `target`.
 
-    Sources at their stop are those with the smallest stop / weight; the level of all others follows from what is left,
-    so the resharing needs no iteration.
+    Targets deal all words by weight, none above max_repeats * source_size. Sources at their stop are those with the
+    smallest stop / weight; the level of all others follows from what is left, so the resharing needs no iteration.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    listed = F.array(*[F.lit(w) for w in weights])
-    stop = F.col("source_size") * max_repeats
-    return (
-        sources.withColumn("weight", F.element_at(listed, (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("long"))
-        .withColumn("ratio", stop / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum(stop).over(before), F.lit(0)))
-        .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("first", F.min(F.when(F.col("left") <= F.col("ratio") * F.col("rest"), F.struct("ratio", "left", "rest"))).over(everything))
-        .withColumn("target", F.when(F.col("ratio") >= F.col("first.ratio"), F.col("weight") * F.col("first.left") / F.col("first.rest")).otherwise(stop.cast("double")))
-        .select("source", "source_size", F.coalesce(F.col("target"), F.lit(0.0)).alias("target"))
-    )
+    by_name = running_sums(sources.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], rank="one", before="source_size")
+    listed = F.array(*[F.lit(w).cast("long") for w in weights])
+    weighed = by_name.withColumn("weight", F.element_at(listed, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("stop", F.col("source_size") * max_repeats)
+    weighed = weighed.withColumn("ratio", F.col("stop") / F.col("weight")).drop("one", "rank")
+    ranked = durable(running_sums(weighed, [F.col("ratio"), F.col("source").asc_nulls_last()], stopped="stop", spoken="weight"))
+    everything = ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    left, rest = F.col("words") - F.col("stopped"), F.col("weights") - F.col("spoken")
+    level = ranked.crossJoin(F.broadcast(everything)).select("ratio", left.alias("left"), rest.alias("rest"))
+    level = level.filter(F.col("left") <= F.col("ratio") * F.col("rest")).agg(F.min(F.struct("ratio", "left", "rest")).alias("first"))
+    target = F.when(F.col("ratio") >= F.col("first.ratio"), F.col("weight") * F.col("first.left") / F.col("first.rest")).otherwise(F.col("stop").cast("double"))
+    return ranked.crossJoin(F.broadcast(level)).select("source", "source_size", "before", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
-) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, finish.
+#: Packets of one document: (finish, packet, words), from its place in its source's queue.
+PACKETS = "array<struct<finish: double, packet: long, words: long>>"
+
 
-    `taken` counts the words that the mix takes of the document: its size for each whole serving, less where the budget
-    runs out inside its last one. Its source's taken words add up to its target, rounded. `finish` is the virtual time
-    at which its first serving ends (null: it has no words); times above 1 are beyond the budget. The shuffled order is
-    that of md5 of the id; it, and so the mix, is the same at each run. Null sources are one source, ordered last;
-    documents without words and sources without words take nothing. Repeated rows are served each by itself.
+def packets(max_repeats: int) -> Column:
+    n = F.ceil(F.col("size") / F.col("unit")).cast("long")
+
+    def one(i: Column) -> Column:
+        inside = (i % n) * F.col("unit")
+        words = F.least(F.col("unit"), F.col("size") - inside)
+        sent = F.col("start") + F.floor(i / n).cast("long") * F.col("source_size") + inside + words
+        return F.struct((sent / F.col("target")).alias("finish"), i.alias("packet"), words.alias("words"))
+
+    return F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0).cast("long"), n * max_repeats - 1), one)).otherwise(F.array().cast(PACKETS))
+
+
+def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """One row per row of docs with its place: doc_id, source, size, source_size, target, start, unit, ticket, code, rid.
+
+    A source's documents queue up by ticket, the md5 of the id; ids that are the same by a hash of their texts. `start`
+    is what the source has sent before the document's first serving, `unit` the size of a packet.
     """
+    text = text_of(text_col)
     sized = durable(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("ticket"), F.monotonically_increasing_id().alias("rid"),
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("queue"), n_words(text).alias("size"),
+            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("ticket"), F.xxhash64(text).alias("code"), F.monotonically_increasing_id().alias("rid"),
         )
     )
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    sums = durable(
-        source_targets(sums.select("source", "source_size"), weights, max_repeats)
-        .join(sums.select(F.col("source").alias("s"), "n"), F.col("s").eqNullSafe(F.col("source")))
-        .drop("s")
-    )
-    named = lambda df: df.withColumnsRenamed({"source": "__s"})
-    digits = F.ceil(F.log2(F.greatest(F.col("n") / BUCKET_ROWS, F.lit(1.0))) / 4).cast("int")
-    sized = (
-        sized.join(named(sums), F.col("__s").eqNullSafe(F.col("source")))
-        .drop("__s")
-        .withColumn("bucket", F.substring(F.col("ticket"), F.lit(1), digits))
-    )
-    inner = Window.partitionBy("source", "bucket").orderBy("ticket", "rid")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(
-        F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")
-    )
-    queued = (
-        sized.withColumn("inside", F.sum("size").over(inner) - F.col("size"))
-        .join(buckets, F.col("__s").eqNullSafe(F.col("source")) & (F.col("__b") == F.col("bucket")))
-        .withColumn("start", F.col("ahead") + F.col("inside"))
-    )
-    budget = F.round("target").cast("long")
-    served = sum(
-        (F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("start") - e * F.col("source_size"))) for e in range(max_repeats)),
-        F.lit(0),
-    )
-    return queued.select(
-        "doc_id", "source", "size", "source_size", "target", served.cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.try_divide(F.col("start") + F.col("size"), F.col("target"))).alias("finish"),
-        "start",
-    )
+    sums = sized.groupBy("source", "queue").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    counted = sums.select("queue", "n")
+    targets = source_targets(sums.select("source", "source_size"), weights, max_repeats).withColumn("queue", source_key(F.col("source"))).drop("source")
+    known = join_counted(sized, durable(targets.join(counted, "queue")), "queue", "n").drop("n")
+    order = [F.col("source").asc_nulls_last(), F.col("ticket"), F.col("code"), F.col("rid")]
+    placed = running_sums(known, order, sent="size")
+    unit = F.greatest(F.ceil(F.col("target") * PACKET_SHARE), F.lit(LEAST_PACKET)).cast("long")
+    return placed.withColumn("start", F.col("sent") - F.col("before")).withColumn("unit", unit).drop("queue", "before", "sent")
 
 
-def schedule(docs: DataFrame, budget_words: int | None = None, max_repeats: int = MAX_REPEATS, **how) -> DataFrame:
-    """The mix itself: servings (doc_id, serving, finish, words), globally range-sorted by finish, cut at the budget.
+#: What the queue is sorted by: finish time, then the document's ticket.
+ORDER = ("finish", "ticket", "code", "rid", "packet")
 
-    budget_words scales all targets (none: all words there are). Words of a serving that the budget cuts count in part.
+
+def schedule(placed: DataFrame, budget_words: int | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The queue: packets (finish, ticket, code, rid, packet, words) range-sorted by finish, cut where budget_words are spent.
+
+    placed: of queue(). Without budget_words, as many words are sent as all documents have. The last packet counts in part.
+    """
+    if budget_words is None:
+        budget_words = placed.agg(F.sum("size")).first()[0] or 0
+    sent = placed.select("ticket", "code", "rid", F.explode(packets(max_repeats)).alias("p")).select("p.finish", "ticket", "code", "rid", "p.packet", "p.words")
+    served = running_sums(sent, [F.col(c) for c in ORDER], ahead="words")
+    return served.withColumn("words", F.least(F.col("words"), budget_words - F.col("ahead"))).filter("words > 0").drop("ahead")
+
+
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, budget_words: int | None = None,
+) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, code (xxhash64 of the text).
+
+    `taken` counts the document's words that the cut queue serves, repeats counted. A source's taken words differ from
+    its target by less than a packet of each source. The mix is the same at each run and for each layout of docs: the
+    queue is ordered by md5 of the id. Null sources are one source, ordered last; documents without words and sources
+    without words take nothing. Repeated rows are served each by itself; an empty table gives an empty result.
+
+    The cut is one place in the sorted queue: whatever a document has before it is served. So the queue's last packet
+    is all that comes back to the documents.
     """
-    mixed = mix_sources(docs, max_repeats=max_repeats, **how)
-    if budget_words is not None:
-        total = mixed.select("source", "target").distinct().agg(F.sum("target").alias("all"))
-        mixed = mixed.crossJoin(F.broadcast(total)).withColumn("until", F.lit(budget_words) / F.col("all")).drop("all")
-    else:
-        mixed = mixed.withColumn("until", F.lit(1.0))
-    limit = F.round(F.col("target") * F.col("until")).cast("long")
-    return (
-        mixed.withColumn("serving", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-        .withColumn("begin", F.col("start") + F.col("serving") * F.col("source_size"))
-        .withColumn("words", F.least(F.col("size"), limit - F.col("begin")))
-        .filter("words > 0")
-        .withColumn("finish", (F.col("begin") + F.col("words")) / F.col("target"))
-        .select("doc_id", "source", "serving", "finish", "words")
-        .orderBy("finish", "doc_id", "serving")
-    )
+    placed = durable(queue(docs, id_col, text_col, source_col, weights, max_repeats))
+    last = schedule(placed, budget_words, max_repeats).agg(F.max(F.struct(*ORDER, "words")).alias("last"))
+    end = F.struct(*[F.col(f"last.{c}").alias(c) for c in ORDER])
+    served = placed.crossJoin(F.broadcast(last))
+    in_full = F.col("last").isNotNull() & (F.try_divide(F.col("start") + (max_repeats - 1) * F.col("source_size") + F.col("size"), "target") < F.col("last.finish"))
+    # Each packet is held against the last one served: before it all words count, at it those within the budget.
+    own = lambda p: F.struct(p["finish"].alias("finish"), "ticket", "code", "rid", p["packet"].alias("packet"))
+    words = lambda p: F.when(own(p) < end, p["words"]).when(own(p) == end, F.col("last.words")).otherwise(0)
+    part = F.aggregate(packets(max_repeats), F.lit(0).cast("long"), lambda n, p: n + words(p))
+    taken = F.when(in_full, F.col("size") * max_repeats).otherwise(F.coalesce(part, F.lit(0))).cast("long")
+    return served.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "code")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, each row as often as the mix takes it in whole (half a serving or more counts), columns unchanged."""
-    mixed = mix_sources(docs, id_col, text_col, source_col)
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    shares = mixed.filter("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("size", times.alias("times")))).alias("__times"))
-    # Rows that share an id are told apart by their size; equal sizes of one id share one count, the larger.
-    picked = F.aggregate("__times", F.lit(0), lambda acc, x: F.when(x["size"] == F.col("__size"), F.greatest(acc, x["times"])).otherwise(acc))
-    return (
-        docs.withColumn("__size", n_words(text_of(text_col)))
-        .join(shares, F.col(id_col).eqNullSafe(F.col("__id")))
-        .withColumn("__n", picked)
-        .filter("__n > 0")
-        .withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    """docs, each row as often as the mix takes it in whole (half a serving or more counts), columns unchanged.
+
+    Rows that share id and text share what they are taken.
+    """
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return repeat_rows(docs, mix_sources(docs, id_col, text_col, source_col).select("doc_id", "code", times.alias("n")), id_col, text_col)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,13 +171,18 @@ WITH d AS (
   SELECT source, source_size, coalesce(CASE WHEN ratio >= f_ratio THEN CAST(weight * f_left AS DOUBLE) / f_rest ELSE CAST(source_size * 3 AS DOUBLE) END, 0.0) AS target
   FROM l LEFT JOIN f ON true
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.ticket, d.size, t.source_size, t.target, CAST(greatest(ceil(t.target * (1.0::DOUBLE / 1000)), 16) AS BIGINT) AS unit,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ticket) - d.size AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), n AS (
+  SELECT *, unnest(range(0, 3 * CAST(ceil(size / CAST(unit AS DOUBLE)) AS BIGINT))) AS packet, CAST(ceil(size / CAST(unit AS DOUBLE)) AS BIGINT) AS n FROM q WHERE size > 0
+), p AS (
+  SELECT doc_id, ticket, packet, least(unit, size - packet % n * unit) AS words,
+    CAST(start + packet // n * source_size + packet % n * unit + least(unit, size - packet % n * unit) AS DOUBLE) / target AS finish FROM n
+), v AS (
+  SELECT doc_id, words, CAST(sum(words) OVER (ORDER BY finish, ticket, packet ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - words AS ahead FROM p
+), x AS (
+  SELECT doc_id, CAST(sum(greatest(0, least(words, (SELECT sum(size) FROM d) - ahead))) AS BIGINT) AS taken FROM v GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - start))
-     + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size))
-     + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - 2 * source_size)) AS BIGINT) AS taken
-FROM q
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(x.taken, 0) AS taken FROM q LEFT JOIN x USING (doc_id)
 """

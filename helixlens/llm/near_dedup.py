@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one document of each near-duplicate component, columns unchanged."""
-    return keep_rows(docs, near_duplicates(docs, id_col, text_col, **how).filter("kept"), id_col, text_col)
+    return keep_rows(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import heapq
+import math
 import re
 import urllib.parse
 import zlib
@@ -217,21 +219,75 @@ def test_mixing(docs, empty):
         stopped |= above
     got = mixing.mix_sources(docs).collect()
     assert by_row(got, "doc_id", "size", "source_size") == Counter((i, size(t), total[s]) for i, t, s in rows)
+    unit = {s: max(16, math.ceil(target[s] / 1000 - 1e-9)) for s in sources}
     for s in sources:
         own = [r for r in got if r["source"] == s]
         assert all(abs(r["target"] - target[s]) < 1e-6 for r in own) and all(0 <= r["taken"] <= 3 * r["size"] for r in own)
-        assert abs(sum(r["taken"] for r in own) - target[s]) <= 1
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= sum(unit.values())
+    assert sum(r["taken"] for r in got) == sum(total.values())
     assert mixing.mix_sources(empty).count() == 0
     assert by_row(mixing.mix_sources(docs.repartition(7)).collect(), "doc_id", "taken") == by_row(got, "doc_id", "taken")
-    served = mixing.schedule(docs).collect()
-    assert [r["finish"] for r in served] == sorted(r["finish"] for r in served)
-    assert sum(r["words"] for r in served) == sum(r["taken"] for r in got)
-    half = mixing.schedule(docs, budget_words=sum(total.values()) // 2).agg(F.sum("words")).first()[0]
-    assert abs(half - sum(total.values()) // 2) <= len(sources)
+    placed = mixing.queue(docs).persist()
+    for budget in (None, sum(total.values()) // 2, 10**9, 0):
+        served = mixing.schedule(placed, budget).collect()
+        assert [r["finish"] for r in served] == sorted(r["finish"] for r in served)
+        taken = [r["taken"] for r in mixing.mix_sources(docs, budget_words=budget).collect()]
+        assert sum(r["words"] for r in served) == sum(taken) == min(sum(total.values()) if budget is None else budget, 3 * sum(total.values()))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and 0.5 < mixed.count() / len(rows) < 3
 
 
+def test_mixing_against_a_queue(spark):
+    """Packets served one by one, the earliest finish time first, until the budget is spent; a hot source and repeated ids."""
+    r = np.random.default_rng(4)
+    rows = [(i % 90 if i < 95 else None, "w " * int(r.integers(0, 400 if i % 7 else 3000)), "hot" if i % 3 else f"s{i % 11}") for i in range(120)]
+    got = mixing.mix_sources(docs_of(spark, rows).repartition(5)).collect()
+    target, total = {x["source"]: x["target"] for x in got}, Counter()
+    queues = defaultdict(list)
+    for i, t, s in rows:
+        total[s] += t.count("w")
+        queues[s].append((hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest(), t.count("w"), i))
+    same = Counter((x[0], s) for s, q in queues.items() for x in q)
+    heap = []
+    for s, q in queues.items():
+        sent, unit = 0, max(16, math.ceil(target[s] / 1000))
+        for serving in range(3):
+            for ticket, size, i in sorted(q):
+                for k, at in enumerate(range(0, size, unit)):
+                    words = min(unit, size - at)
+                    sent += words
+                    heap.append((sent / target[s], ticket, serving, k, words, i, s, same[ticket, s] == 1))
+    left, taken = sum(total.values()), Counter()
+    heapq.heapify(heap)
+    while left > 0:
+        _, _, _, _, words, i, s, _ = heapq.heappop(heap)
+        taken[i, s] += min(words, left)
+        left -= words
+    clear = {(i, s) for s, q in queues.items() for ticket, _, i in q if same[ticket, s] == 1}
+    assert len(clear) > 60 and sum(x["taken"] for x in got) == sum(total.values())
+    assert all(abs(x["taken"] - taken[x["doc_id"], x["source"]]) <= 16 for x in got if (x["doc_id"], x["source"]) in clear)
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x"), F.lit(1).cast("long").alias("one"))
+    rows = sorted(common.running_sums(df, [F.col("k")], upto="x", rank="one").collect(), key=lambda r: r["k"])
+    upto = 0
+    for n, r in enumerate(rows):
+        assert (r["upto"], r["rank"]) == (upto, n)
+        upto += r["x"] or 0
+    assert common.running_sums(df.limit(0), [F.col("k")], upto="x").count() == 0
+
+
+@pytest.mark.parametrize("names", [("key", "row", "n", "turn"), ("__key", "__rank", "copy", "m")])
+def test_clashing_columns(spark, names):
+    """Stages keep rows whole whatever their further columns are called; repeated rows and null ids included."""
+    rows = [(i, t, s, i, "x", None, 2) for i, t, s in awkward()]
+    df = spark.createDataFrame([(i, t, s, *x) for i, t, s, *x in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` {t}" for n, t in zip(names, ("long", "string", "string", "int"), strict=True)))
+    for stage in (exact_dedup.keep_first, near_dedup.keep_one_of_each, mixing.mixed_documents):
+        out = stage(df)
+        assert out.columns == df.columns and 0 < out.count() and out.exceptAll(df).distinct().join(df, "doc_id", "left_anti").filter("doc_id is not null").count() == 0
+
+
 def test_line_dedup(docs, empty):
     rows = awkward()
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))

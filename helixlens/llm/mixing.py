@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: A packet has at most so many words for each word of its source's target, and LEAST_PACKET at least.
 PACKET_SHARE, LEAST_PACKET = 1 / 1000, 16
+#: Up to so many sources have their targets worked out on the driver; more are range-sorted.
+FEW_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -54,6 +56,22 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_r
     return ranked.crossJoin(F.broadcast(level)).select("source", "source_size", "before", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def few_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """source_targets of at most FEW_SOURCES sources."""
+    rows = sorted(((r["source"], r["source_size"]) for r in sources.collect()), key=lambda r: (r[0] is None, r[0]))
+    own = [(s, size, weights[i % len(weights)]) for i, (s, size) in enumerate(rows)]
+    left, rest, target = sum(size for _, size, _ in own), sum(w for _, _, w in own), {}
+    for s, size, w in sorted(own, key=lambda r: (r[1] * max_repeats / r[2], r[0] is None, r[0])):
+        if left <= size * max_repeats / w * rest:
+            break
+        target[s], left, rest = float(size * max_repeats), left - size * max_repeats, rest - w
+    out, before = [], 0
+    for s, size, w in own:
+        out.append((s, size, before, target.get(s, w * left / rest)))
+        before += size
+    return sources.sparkSession.createDataFrame(out, f"source {sources.schema['source'].dataType.simpleString()}, source_size long, before long, target double")
+
+
 #: Packets of one document: (finish, packet, words), from its place in its source's queue.
 PACKETS = "array<struct<finish: double, packet: long, words: long>>"
 
@@ -83,10 +101,13 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")).alias("ticket"), F.xxhash64(text).alias("code"), F.monotonically_increasing_id().alias("rid"),
         )
     )
-    sums = sized.groupBy("source", "queue").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    counted = sums.select("queue", "n")
-    targets = source_targets(sums.select("source", "source_size"), weights, max_repeats).withColumn("queue", source_key(F.col("source"))).drop("source")
-    known = join_counted(sized, durable(targets.join(counted, "queue")), "queue", "n").drop("n")
+    sums = durable(sized.groupBy("source", "queue").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    if sums.count() <= FEW_SOURCES:
+        targets = few_targets(sums.select("source", "source_size"), weights, max_repeats).withColumn("queue", source_key(F.col("source"))).drop("source")
+        known = sized.join(F.broadcast(targets), "queue")
+    else:
+        targets = source_targets(sums.select("source", "source_size"), weights, max_repeats).withColumn("queue", source_key(F.col("source"))).drop("source")
+        known = join_counted(sized, durable(targets.join(sums.select("queue", "n"), "queue")), "queue", "n").drop("n")
     order = [F.col("source").asc_nulls_last(), F.col("ticket"), F.col("code"), F.col("rid")]
     placed = running_sums(known, order, sent="size")
     unit = F.greatest(F.ceil(F.col("target") * PACKET_SHARE), F.lit(LEAST_PACKET)).cast("long")

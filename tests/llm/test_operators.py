@@ -237,8 +237,10 @@ def test_mixing(docs, empty):
     assert mixed.columns == docs.columns and 0.5 < mixed.count() / len(rows) < 3
 
 
-def test_mixing_against_a_queue(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_mixing_against_a_queue(spark, monkeypatch, most):
     """Packets served one by one, the earliest finish time first, until the budget is spent; a hot source and repeated ids."""
+    monkeypatch.setattr(mixing, "FEW_SOURCES", most)
     r = np.random.default_rng(4)
     rows = [(i % 90 if i < 95 else None, "w " * int(r.integers(0, 400 if i % 7 else 3000)), "hot" if i % 3 else f"s{i % 11}") for i in range(120)]
     got = mixing.mix_sources(docs_of(spark, rows).repartition(5)).collect()

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -175,6 +177,64 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
     return df.mapInArrow(run, schema)
 
 
+#: Probes of a Bloom filter, and the pieces in which it travels to its merge.
+PROBES, SLICES = 3, 64
+
+
+def probes(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit numbers of each hash, one row a hash: double hashing modulo a power of two."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return ((h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def add(bitmap: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+
+
+def slices(bitmap: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Number and compressed bytes of each piece of a bitmap."""
+    size = max(1, len(bitmap) // SLICES)
+    return ((s, zlib.compress(bitmap[lo : lo + size].tobytes(), 1)) for s, lo in enumerate(range(0, len(bitmap), size)))
+
+
+def joined_slices(pieces: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of pieces(slice, bits) on the driver."""
+    bitmap = np.zeros(bits // 8, np.uint8)
+    size = max(1, len(bitmap) // SLICES)
+    for at, piece in pieces.toLocalIterator():
+        bitmap[at * size : (at + 1) * size] = np.frombuffer(zlib.decompress(piece), np.uint8)
+    return bitmap
+
+
+#: Bits of a Bloom filter for a key, and at most (32 MB): a fuller filter lets more pass and loses nothing.
+BITS_A_KEY, MAX_BLOOM_BITS = 16, 1 << 28
+
+
+def bloom(keys: DataFrame, n: int) -> np.ndarray:
+    """Bitmap of the n 64-bit hashes keys(key long), merged by slices; on the driver, for a broadcast of bounded size."""
+    bits = min(MAX_BLOOM_BITS, 1 << max(16, (BITS_A_KEY * n).bit_length()))
+
+    def run(batches):
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            add(own, probes(np.asarray(batch.column(0)).view(np.uint64), bits))
+        if own.any():
+            rows = list(slices(own))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slice", "bits"])
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), np.uint8) for b in rows["bits"]])
+        return pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(own.tobytes(), 1)]})
+
+    pieces = keys.select("key").mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInPandas(merge, "slice int, bits binary")
+    return joined_slices(pieces, bits)
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32(doc_id as text) mod `mod` = `rest`; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, map_rows, sliced, text_of
+from .common import add, documents, has, join_counted, joined_slices, map_rows, probes, sliced, slices, text_of
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -29,9 +29,6 @@ MIN_DOCUMENTS = 3
 MAX_BITS = 1 << 29
 #: A filter has about a bit for so many bytes of text.
 BYTES_A_BIT = 8
-PROBES = 3
-#: A filter travels to its merge in so many pieces.
-SLICES = 64
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -53,21 +50,6 @@ def hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def probes(h: np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers of each hash, one row a hash: double hashing modulo a power of two."""
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def add(bitmap: np.ndarray, at: np.ndarray) -> None:
-    at = at.ravel()
-    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-
-
 def _filters(bits: int, min_length: int):
     def run(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
@@ -80,11 +62,8 @@ def _filters(bits: int, min_length: int):
             at = probes(distinct, bits)
             add(twice, at[(n > 1) | has(once, at)])
             add(once, at)
-        size = max(1, len(once) // SLICES)
-        for s, lo in enumerate(range(0, len(once), size)):
-            if once[lo : lo + size].any():
-                packed = [zlib.compress(x[lo : lo + size].tobytes(), 1) for x in (once, twice)]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], names=["slice", "once", "twice"])
+        for (s, one), (_, two) in zip(slices(once), slices(twice), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([one], pa.binary()), pa.array([two], pa.binary())], names=["slice", "once", "twice"])
 
     return run
 
@@ -94,7 +73,7 @@ def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for a, b in zip(rows["once"], rows["twice"], strict=True):
         a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
         once, twice = once | a, twice | b | (once & a)
-    return pd.DataFrame({"slice": [key[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
+    return pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(twice.tobytes(), 1)]})
 
 
 def repeat_filter(texts: DataFrame, min_length: int = MIN_LENGTH) -> np.ndarray:
@@ -103,12 +82,7 @@ def repeat_filter(texts: DataFrame, min_length: int = MIN_LENGTH) -> np.ndarray:
     bits = min(MAX_BITS, 1 << max(16, (n // BYTES_A_BIT).bit_length()))
     pieces = texts.mapInArrow(_filters(bits, min_length), "slice int, once binary, twice binary")
 
-    merged = pieces.groupBy("slice").applyInPandas(_merge, "slice int, twice binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    size = max(1, len(bitmap) // SLICES)
-    for row in merged.toLocalIterator():
-        bitmap[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return bitmap
+    return joined_slices(pieces.groupBy("slice").applyInPandas(_merge, "slice int, bits binary"), bits)
 
 
 def dedup_lines(

@@ -525,19 +525,78 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity_scores(docs, *toxicity.fit(docs, odd)).count() == len(awkward())
 
 
-def test_toxicity_keeps_words_apart(spark):
-    """A toxic word and an ordinary one whose hashes begin with the same 21 bits."""
-    names = [f"word{i:07d}" for i in range(1 << 20)]
-    code = common.word_hashes(" ".join(names).encode()) >> np.uint64(43)
-    order = np.argsort(code, kind="stable")
-    at = int(np.flatnonzero(np.diff(code[order]) == 0)[0])
-    bad, good = (names[k] for k in order[at : at + 2])
-    filler = ["these", "are", "plain", "and", "usual"]
-    rows = [(i, " ".join([*filler, f"own{i}", *([bad] * 3 if i % 4 == 0 else [good] * 3)]), "s") for i in range(200)]
-    marked = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, label int")
+def brute_differences(rows):
+    """rows: (label, fold, text). Every expression's difference of log-likelihoods from sets of contexts, by the formulas."""
+    types, folds, d, least = defaultdict(set), toxicity.FOLDS, toxicity.DISCOUNT, toxicity.LEAST_CONTEXTS
+    for label, fold, text in rows:
+        w = ["<", "<", *text.split()]
+        for t, v, x in zip(w, w[1:], w[2:], strict=False):
+            types[t, v, x].add((label, fold))
+    out = {}
+    for left_out in range(folds + 1):
+        n, pooled, m, both = defaultdict(Counter), Counter(), defaultdict(Counter), Counter()
+        seen = defaultdict(set)
+        for (_, v, x), marks in types.items():
+            pooled[v, x] += 1
+            for c in {c for c, f in marks if f != left_out}:
+                n[c][v, x] += 1
+                seen[v, x].add(c)
+        for v, x in pooled:
+            both[x] += 1
+            for c in seen[v, x]:
+                m[c][x] += 1
+        over = lambda k: max(k - d, 0)
+        total = [sum(m[c].values()) or 1 for c in (0, 1)]
+        free = [1 - sum(over(m[c][x]) for x in both if both[x] >= least) / total[c] for c in (0, 1)]
+        q = {x: k / sum(both.values()) for x, k in both.items()}
+        u = [{x: over(m[c][x]) / total[c] + free[c] * q[x] if both[x] >= least else q[x] for x in both} for c in (0, 1)]
+        kept = {k for k, x in pooled.items() if x >= least}
+        whole = [Counter() for _ in range(3)]
+        for v, x in pooled:
+            whole[2][v] += pooled[v, x]
+            for c in (0, 1):
+                whole[c][v] += n[c][v, x]
+        back = {v: 1 - sum(over(pooled[k]) for k in kept if k[0] == v) / whole[2][v] for v in {k[0] for k in kept}}
+        for x in both:
+            out.setdefault((None, x), []).append(math.log(u[1][x]) - math.log(u[0][x]))
+        for v, x in kept:
+            p = [over(n[c][v, x]) / max(whole[c][v], 1) + back[v] * u[c][x] for c in (0, 1)]
+            out.setdefault((v, x), []).append(math.log(p[1]) - math.log(p[0]))
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(int(i % 4 == 0), int(i % toxicity.FOLDS), " ".join(r.choice(words[5 * int(i % 4 == 0) :], int(r.integers(0, 60)), p=None))) for i in range(120)]
+    rows += [(1, 1, "you are w1 w2 bad w3")] * 3 + [(0, 0, "")]
+    want = brute_differences(rows)
+    code = {**{toxicity.signed(toxicity.word_keys(x.encode()))[0]: x for x in {y for _, _, t in rows for y in t.split()}}, toxicity.BEGIN: "<", toxicity.ANY: None}
+    for parts in (1, 5):
+        df = spark.createDataFrame([(a, b, c) for a, b, c in rows], "label int, fold int, text string").repartition(parts)
+        got = {(code[x["v"]], code[x["w"]]): x["e"] for x in toxicity.differences(common.durable(toxicity.statistics(df))).collect()}
+        assert got.keys() == want.keys() and any(k[0] for k in got)
+        assert all(abs(a - b) < 1e-9 for k, x in got.items() for a, b in zip(x, want[k], strict=True))
+
+
+def test_toxicity_sees_expressions(spark):
+    """Words that are ordinary each by itself and toxic together; scores do not depend on the layout."""
+    r = np.random.default_rng(9)
+    names = np.array([f"word{i}" for i in range(60)])
+    rows = []
+    for i in range(600):
+        body = r.choice(names, 40).tolist()
+        for at in sorted(r.choice(36, 3, replace=False).tolist()):
+            body[at : at + 2] = ["drop", "dead"] if i % 4 == 0 else [["drop", "word1"], ["word2", "dead"]][at % 2]
+        rows.append((i, " ".join(body), "s"))
+    marked = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400)], "doc_id long, label int")
     df = docs_of(spark, rows)
-    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(df, *toxicity.fit(df, marked)).collect()}
-    assert len(got) == 200 and all((s > 0.5) == (i % 4 == 0) for i, s in got.items())
+    scores = []
+    for parts in (1, 3, 7):
+        own = df.repartition(parts)
+        scores.append({x["doc_id"]: x["score"] for x in toxicity.toxicity_scores(own, *toxicity.fit(own, marked)).collect()})
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 600
+    assert sum((s >= 0.5) == (i % 4 == 0) for i, s in scores[0].items() if i >= 400) >= 190
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))

@@ -152,6 +152,29 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _murmur3(x: int) -> int:
+    """Spark's hash (public MurmurHash3, seed 42) of a non-negative long."""
+    full, h = 0xFFFFFFFF, 42
+    turn = lambda k, r: (k << r | k >> 32 - r) & full
+    for k in (x & full, x >> 32):
+        h = turn(h ^ turn(k * 0xCC9E2D51 & full, 15) * 0x1B873593 & full, 13) * 5 + 0xE6546B64 & full
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def even_keys(n: int) -> list[int]:
+    """n longs that a hash exchange over n partitions deals one to each: key i goes to partition i."""
+    found: dict[int, int] = {}
+    x = 0
+    while len(found) < n:
+        found.setdefault(_murmur3(x) % n, x)
+        x += 1
+    return [found[i] for i in range(n)]
+
+
 #: Rows of an Arrow batch that Python works on at a time: texts of thousands of rows at once would fill a worker.
 SLICE_ROWS = 256
 

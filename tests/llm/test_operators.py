@@ -532,7 +532,9 @@ def brute_differences(rows):
         w = ["<", "<", *text.split()]
         for t, v, x in zip(w, w[1:], w[2:], strict=False):
             types[t, v, x].add((label, fold))
-    out = {}
+    out, contexts = {}, defaultdict(set)
+    for t, v, x in types:
+        contexts[v, x].add(t)
     for left_out in range(folds + 1):
         n, pooled, m, both = defaultdict(Counter), Counter(), defaultdict(Counter), Counter()
         seen = defaultdict(set)
@@ -555,7 +557,7 @@ def brute_differences(rows):
         for v, x in pooled:
             whole[2][v] += pooled[v, x]
             for c in (0, 1):
-                whole[c][v] += n[c][v, x]
+                whole[c][v] += sum(any(k == c for k, _ in types[a, v, x]) for a in contexts[v, x])
         back = {v: 1 - sum(over(pooled[k]) for k in kept if k[0] == v) / whole[2][v] for v in {k[0] for k in kept}}
         for x in both:
             out.setdefault((None, x), []).append(math.log(u[1][x]) - math.log(u[0][x]))
@@ -579,8 +581,16 @@ def test_toxicity_against_brute_force(spark):
         assert all(abs(a - b) < 1e-9 for k, x in got.items() for a, b in zip(x, want[k], strict=True))
 
 
-def test_toxicity_sees_expressions(spark):
+def test_even_keys(spark):
+    for n in (1, 7, 51):
+        df = spark.createDataFrame([(k,) for k in common.even_keys(n)], "k long")
+        assert [r[0] for r in df.select(F.pmod(F.hash("k"), F.lit(n))).collect()] == list(range(n))
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_toxicity_sees_expressions(spark, monkeypatch, most):
     """Words that are ordinary each by itself and toxic together; scores do not depend on the layout."""
+    monkeypatch.setattr(toxicity, "MANY_LABELS", most)
     r = np.random.default_rng(9)
     names = np.array([f"word{i}" for i in range(60)])
     rows = []

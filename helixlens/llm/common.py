@@ -147,6 +147,26 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> Data
     return rows.join(F.broadcast(keyed.filter(hot)), key).unionByName(few.join(keyed.filter(~hot), key))
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, size: str) -> DataFrame:
+    """join_counted for stored rows: the hot keys are looked up first, and without any a plain join remains."""
+    return _join_known(rows, keyed, key, keyed.filter(F.col(size) > rows.count() * HOT_SHARE))
+
+
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """join_hot, keyed having one row a key and rows, which are stored, any number: they are counted first."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
+    return _join_known(rows, keyed, key, sizes.filter(F.col("__size") > rows.count() * HOT_SHARE))
+
+
+def _join_known(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    known = [bytes(k) if isinstance(k, bytearray) else k for (k,) in hot.select(key).collect()]  # at most 1 / HOT_SHARE
+    if not known:
+        return rows.join(keyed, key)
+    here = F.col(key).isin(known)
+    met = rows.filter(here).join(F.broadcast(keyed.filter(here)), key)
+    return met.unionByName(rows.filter(~here).join(keyed.filter(~here), key))
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session: what a stage is dealt over."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, keep_rows, map_rows, mix64, signed, text_of, word_hashes
+from .common import documents, durable, join_hot, join_skewed, keep_rows, map_rows, mix64, row_key, signed, text_of, word_hashes
 
 SHINGLE_WORDS = 3
 #: Links need 100 * |intersection| >= PERCENT * |union|.
@@ -119,15 +119,16 @@ def _sets(words: int):
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the least vertex reachable from each vertex of links(a, b), by label passing with pointer jumps."""
     both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = durable(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    now = durable(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count(F.lit(1)).alias("degree")))
     while True:
-        heard = both.join(now, F.col("b") == F.col("v")).groupBy(F.col("a").alias("w")).agg(F.min("label").alias("heard"))
-        closer = now.join(heard, F.col("v") == F.col("w")).select("v", "label", F.least("label", "heard").alias("near"))
-        ahead = now.select(F.col("v").alias("w"), F.col("label").alias("far"))
-        new = durable(closer.join(ahead, F.col("near") == F.col("w")).select("v", F.least("near", "far").alias("new"), "label"))
+        # A centre has as many neighbours, and a label as many holders, as its component has members.
+        heard = join_hot(both, now.select(F.col("v").alias("b"), "label", "degree"), "b", "degree").groupBy(F.col("a").alias("w")).agg(F.min("label").alias("heard"))
+        closer = durable(now.join(heard, F.col("v") == F.col("w")).select("v", "label", "degree", F.least("label", "heard").alias("near")))
+        ahead = now.select(F.col("v").alias("near"), F.col("label").alias("far"))
+        new = durable(join_skewed(closer, ahead, "near").select("v", F.least("near", "far").alias("new"), "label", "degree"))
         if new.filter("new < label").isEmpty():
-            return now
-        now = new.select("v", F.col("new").alias("label"))
+            return now.select("v", "label")
+        now = new.select("v", F.col("new").alias("label"), "degree")
 
 
 def _judged(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -139,15 +140,19 @@ def _judged(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return pd.Series(plausible(stack(a), stack(b), na.to_numpy(float), nb.to_numpy(float), percent))
 
     side = lambda x: classes.select(F.col("v").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    sized = join_skewed(durable(pairs.join(side("a"), "a")), side("b"), "b")
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     return sized.filter(close).filter(judge("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with the size of their sets' intersection."""
+    """The pairs with the size of their sets' intersection.
+
+    Pivots in more pairs than 1/4096 of all are broadcast with their sets: all such sets together are at most 4096 times
+    the mean set of a pair, since a pair's sets are of similar size.
+    """
     side = lambda x: sets.select(F.col("v").alias(x), F.col("members").alias(f"m{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).alias("common"))
+    return join_skewed(pairs, side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).alias("common"))
 
 
 def _linked(percent: int) -> Column:
@@ -159,6 +164,7 @@ def _links_of_block(percent: int):
         """Links between the queries of a block and its members of other components, on full sets.
 
         Shingles that only one set of the block has count in its size alone; the others are columns of a bit matrix.
+        Components that a link has joined are one from then on, so at most one link less than there are components comes out.
         """
         sizes = rows["members"].map(len).to_numpy()
         tokens = np.concatenate(rows["members"].to_numpy()) if sizes.sum() else np.zeros(0, np.int64)
@@ -169,15 +175,18 @@ def _links_of_block(percent: int):
         bits = np.zeros((len(rows), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
         at = column[token[shared]]
         np.bitwise_or.at(bits, (of_row[shared], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-        is_y, label, v = rows["is_y"].to_numpy(bool), rows["label"].to_numpy(), rows["v"].to_numpy()
+        is_y, v = rows["is_y"].to_numpy(bool), rows["v"].to_numpy()
+        _, joined = np.unique(rows["label"].to_numpy(), return_inverse=True)
         rest = np.flatnonzero(~is_y)
         a, b = [], []
         for y in np.flatnonzero(is_y):
-            near = rest[(label[rest] != label[y]) & (np.minimum(sizes[rest], sizes[y]) * 100 >= np.maximum(sizes[rest], sizes[y]) * percent)]
+            near = rest[(joined[rest] != joined[y]) & (np.minimum(sizes[rest], sizes[y]) * 100 >= np.maximum(sizes[rest], sizes[y]) * percent)]
             common = np.bitwise_count(bits[near] & bits[y]).sum(axis=1, dtype=np.int64)
-            hit = v[near[common * 100 >= (sizes[near] + sizes[y] - common) * percent]]
-            a += [v[y]] * len(hit)
-            b += hit.tolist()
+            hit = near[common * 100 >= (sizes[near] + sizes[y] - common) * percent]
+            others, first = np.unique(joined[hit], return_index=True)
+            a += [v[y]] * len(others)
+            b += v[hit[first]].tolist()
+            joined[np.isin(joined, others)] = joined[y]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
@@ -197,25 +206,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = durable(
         map_rows(coded, _sketched(words), "doc_id long, code long, rid long, n_shingles long, set_key binary, regs binary, bands array<long>")
     )
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "code")
     classes = durable(
         sketched.filter("n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+        .agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
         .withColumn("v", F.col("first.rid"))
     )
-    banded = classes.select("v", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = durable(banded.join(sizes, "key"))
+    banded = durable(classes.select("v", F.explode("bands").alias("key")))
+    sizes = durable(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    shared = durable(join_hot(banded, sizes, "key", "size"))
     popular = shared.groupBy("v").agg(F.sum("size").alias("popularity"))
-    pivots = durable(shared.join(popular, "v").groupBy("key").agg((-F.max(F.struct("popularity", -F.col("v")))["col2"]).alias("pivot")))
-    to_pivot = shared.join(pivots, "key").filter("v <> pivot").select(F.col("v").alias("a"), F.col("pivot").alias("b")).distinct()
-    judged = durable(_judged(to_pivot, classes, percent))
+    pivots = shared.join(popular, "v").groupBy("key").agg((-F.max(F.struct("popularity", -F.col("v")))["col2"]).alias("pivot"), F.max("size").alias("size"))
+    pivots = durable(pivots)
+    to_pivot = join_hot(shared.drop("size"), pivots, "key", "size").filter("v <> pivot").select(F.col("v").alias("a"), F.col("pivot").alias("b")).distinct()
+    judged = durable(_judged(durable(to_pivot), classes, percent))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.join(classes.select("v", "set_key", F.col("first.doc_id").alias("id")), "v")
-        texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("v", "text", "set_key")
-        return durable(map_rows(texts, _sets(words), "v long, members array<long>"))
+        """(v, members) of the classes wanted(v), from the text of one of their rows: rows that share id and text are many to the same class."""
+        named = wanted.join(classes.select("v", "set_key", "rows", row_key(F.col("first.doc_id"), F.col("first.code")).alias("key")), "v")
+        named = durable(named)
+        texts = join_hot(rows.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text"), named, "key", "rows").select("v", "text", "set_key")
+        return durable(map_rows(texts, _sets(words), "v long, members array<long>").dropDuplicates(["v"]))
 
     measured = durable(_overlaps(judged, sets_of(judged.select(F.explode(F.array("a", "b")).alias("v")).distinct())))
     links = measured.filter(_linked(percent)).select("a", "b")
@@ -231,10 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = lambda words, size: F.ceil(words / size).cast("int")
     groups = (
         members.groupBy("p")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks(F.sum(F.when(F.col("asks"), F.col("n"))), QUERY_SHINGLES).alias("yn"), blocks(F.sum("n"), GROUP_SHINGLES).alias("mn"))
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), blocks(F.sum(F.when(F.col("asks"), F.col("n"))), QUERY_SHINGLES).alias("yn"), blocks(F.sum("n"), GROUP_SHINGLES).alias("mn"))
         .filter("lo < hi and yn > 0")
     )
-    open_members = members.join(groups, "p")
+    open_members = join_hot(members, durable(groups), "p", "size")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("v"), F.col(n).cast("long")).cast("int")
     asking = open_members.filter("asks").withColumn("yb", own("yn")).withColumn("mb", upto("mn")).withColumn("is_y", F.lit(True))
@@ -247,16 +259,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
-    labelled = classes.select("set_key", "v", "first").join(found, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
-    of_class = labelled.join(heads, "label").select("set_key", "head")
-    alone = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    return (
-        sketched.select("doc_id", "code", "rid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
-        .join(of_class, "set_key", "left")
-        .withColumn("head", F.coalesce("head", alone))
-        .select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("head.rid") == F.col("rid")).alias("kept"), "code")
-    )
+    labelled = classes.select("set_key", "v", "first", "rows").join(found, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    labelled = durable(labelled)
+    heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size"))
+    of_class = durable(join_hot(labelled, heads, "label", "size").select("set_key", "head", "rows"))
+    of_one = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "code")
+    found = join_hot(sketched.filter("n_shingles > 0").select("doc_id", "code", "rid", "n_shingles", "set_key"), of_class, "set_key", "rows")
+    found = found.select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("head.rid") == F.col("rid")).alias("kept"), "code")
+    return found.unionByName(of_one)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

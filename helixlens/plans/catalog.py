@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions.columns import reverse_complement
 from ..operators import positions, reads as by_read, sequences
-from ..sources.derived import LONG_READS, READS, derived_reads
+from ..config import QcConfig
+from ..functions.contaminants import LEAST_RUN, reverse_complement as other_strand
+from ..sources.derived import KINDS, derived_reads
+from ..sources.fastq import read_fastq, write_fastq
 from .report import statuses
 
 #: Decimals that results are rounded to, since sums of doubles depend on their order.
@@ -22,35 +26,54 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[of(f) for f in df.schema])
 
 
-def _query(operator: Callable[[DataFrame], DataFrame], long: bool = False) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _rounded(operator(derived_reads(spark, sf_dir, long)))
+def _query(operator: Callable[[DataFrame], DataFrame], kind: str = "reads") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _rounded(operator(derived_reads(spark, sf_dir, kind)))
 
 
 def _revcomp(reads: DataFrame) -> DataFrame:
     return reads.select("read_idx", reverse_complement(F.col("seq")).alias("revcomp"))
 
 
+def _fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived reads, written as one FASTQ file to the shared folder and read back."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/reads-{uuid.uuid4().hex}.fastq"
+    write_fastq(derived_reads(spark, sf_dir, "spiked").coalesce(1).sortWithinPartitions("read_idx"), path)
+    return read_fastq(spark, path)
+
+
+#: A cap that the derived reads fill.
+CAP = 1000
+
 QUERIES = {
     "basic_statistics": _query(by_read.basic_statistics),
-    "basic_statistics_long": _query(by_read.basic_statistics, True),
+    "basic_statistics_long": _query(by_read.basic_statistics, "long"),
     "per_base_quality": _query(positions.per_base_quality),
-    "per_base_quality_long": _query(positions.per_base_quality, True),
+    "per_base_quality_long": _query(positions.per_base_quality, "long"),
     "per_tile_quality": _query(positions.per_tile_quality),
     "per_sequence_quality": _query(by_read.per_sequence_quality),
     "per_base_content": _query(positions.per_base_content),
-    "per_base_content_long": _query(positions.per_base_content, True),
+    "per_base_content_long": _query(positions.per_base_content, "long"),
     "n_content": _query(positions.n_content),
-    "n_content_long": _query(positions.n_content, True),
+    "n_content_long": _query(positions.n_content, "long"),
     "gc_distribution": _query(by_read.gc_distribution),
-    "gc_distribution_long": _query(by_read.gc_distribution, True),
+    "gc_distribution_long": _query(by_read.gc_distribution, "long"),
     "gc_theoretical": _query(by_read.gc_theoretical),
     "length_distribution": _query(by_read.length_distribution),
-    "length_distribution_long": _query(by_read.length_distribution, True),
+    "length_distribution_long": _query(by_read.length_distribution, "long"),
     "duplication_levels": _query(sequences.duplication_levels),
     "overrepresented_seqs": _query(sequences.overrepresented),
-    "contaminant_hits": _query(sequences.contaminant_hits),
+    "contaminant_hits": _query(sequences.contaminant_hits, "spiked"),
+    "duplication_levels_long": _query(sequences.duplication_levels, "long"),
+    "duplication_levels_capped": _query(lambda reads: sequences.duplication_levels(reads, QcConfig(unique_cap=CAP))),
+    "overrepresented_capped": _query(lambda reads: sequences.overrepresented(reads, QcConfig(unique_cap=CAP)), "spiked"),
+    "per_tile_quality_short_ids": _query(positions.per_tile_quality, "spiked"),
+    "gc_distribution_very_long": _query(by_read.gc_distribution, "very_long"),
+    "kmer_obs_exp_very_long": _query(sequences.kmer_groups, "very_long"),
+    "fastq_scan": _fastq_scan,
+    "fastq_per_base_quality": lambda spark, sf_dir: _rounded(positions.per_base_quality(_fastq_scan(spark, sf_dir))),
     "adapter_content": _query(sequences.adapter_content),
-    "adapter_content_long": _query(sequences.adapter_content, True),
+    "adapter_content_long": _query(sequences.adapter_content, "long"),
     "kmer_obs_exp": _query(sequences.kmer_groups),
     "kmer_enrichment": _query(sequences.kmer_enrichment),
     "revcomp": _query(_revcomp),
@@ -61,8 +84,9 @@ _STEPS = "[" + ", ".join(str(b * 10**e) for e in range(8) for b in (2, 5, 10)) +
 _LENGTH_STEPS = "[" + ", ".join(str(b * 10**e) for e in range(9) for b in (1, 2, 5)) + "]"
 
 
-def _with(body: str, long: bool = False) -> str:
-    return f"WITH reads AS ({(LONG_READS if long else READS).format(orders='orders')}), {body}"
+def _with(body: str, kind: str = "reads") -> str:
+    sql = KINDS[kind].format(orders="orders").replace(" div ", " // ")
+    return f"WITH reads AS ({sql}), {body}"
 
 
 def _lower(pos: str, n: str) -> str:
@@ -75,14 +99,14 @@ def _upper(pos: str, n: str) -> str:
     return f"CAST(CASE WHEN {n} <= 75 OR {pos} <= 9 THEN {pos} ELSE least({n}, (({pos} - 10) // {step}) * {step} + 9 + {step}) END AS BIGINT)"
 
 
-def _basic(long: bool = False) -> str:
+def _basic(kind: str = "reads") -> str:
     return _with("""
 a AS (SELECT count(*) AS n, sum(length(regexp_replace(seq, '[^GCgc]', '', 'g'))) AS gc, sum(length(regexp_replace(seq, '[^ATat]', '', 'g'))) AS att,
   arg_max(length(seq), read_idx) AS last_len, min(length(seq)) AS lo, max(length(seq)) AS hi FROM reads),
 q AS (SELECT min(ascii(c)) AS least FROM (SELECT unnest(string_split(qual, '')) AS c FROM reads) WHERE c <> '')
 SELECT CASE WHEN least < 32 THEN NULL WHEN least < 64 THEN 'Sanger / Illumina 1.9' WHEN least = 65 THEN 'Illumina 1.3' WHEN least <= 126 THEN 'Illumina 1.5' END AS encoding,
   n AS total_sequence, CAST(0 AS BIGINT) AS filtered_sequence, CAST(last_len AS BIGINT) AS sequence_min_length, CAST(lo AS BIGINT) AS sequence_max_length,
-  CAST(100 * gc // (gc + att) AS BIGINT) AS gc_percent, CAST(lo AS BIGINT) AS true_min_length, CAST(hi AS BIGINT) AS true_max_length FROM a, q""", long)
+  CAST(100 * gc // (gc + att) AS BIGINT) AS gc_percent, CAST(lo AS BIGINT) AS true_min_length, CAST(hi AS BIGINT) AS true_max_length FROM a, q""", kind)
 
 
 _POSITIONS = """
@@ -91,7 +115,7 @@ c AS (SELECT pos, substr(seq, pos, 1) AS base, count(*) AS n FROM e GROUP BY ALL
 m AS (SELECT max(pos) AS max_len FROM c)"""
 
 
-def _quality(long: bool = False) -> str:
+def _quality(kind: str = "reads") -> str:
     at = lambda p: f"CASE WHEN max(total) > 100 THEN min(CASE WHEN running >= total * {p} // 100 THEN code END) - max(off) END"
     names = {"mean": "sum(n * (code - off)) / CAST(sum(n) AS DOUBLE)", "median": at(50), "lower_quartile": at(25), "upper_quartile": at(75), "percentile_10": at(10), "percentile_90": at(90)}
     return _with(f"""
@@ -101,16 +125,16 @@ m AS (SELECT max(pos) AS max_len, CASE WHEN min(code) < 64 THEN 33 ELSE 64 END A
 w AS (SELECT pos, code, CAST(n AS BIGINT) AS n, off, CAST(sum(n) OVER (PARTITION BY pos ORDER BY code) AS BIGINT) AS running, CAST(sum(n) OVER (PARTITION BY pos) AS BIGINT) AS total FROM h, m),
 p AS (SELECT pos, {', '.join(f'{v} AS {k}' for k, v in names.items())} FROM w GROUP BY pos)
 SELECT {_lower('pos', 'max_len')} AS lower_base, {_upper('pos', 'max_len')} AS upper_base, {', '.join(f'round(CAST(avg({k}) AS DOUBLE), 6) AS {k}' for k in names)}
-FROM p, m GROUP BY 1, 2""", long)
+FROM p, m GROUP BY 1, 2""", kind)
 
 
-def _content(long: bool = False) -> str:
+def _content(kind: str = "reads") -> str:
     of = lambda b: f"round(sum(CASE WHEN upper(base) = '{b}' THEN n ELSE 0 END) * 100.0::DOUBLE / sum(CASE WHEN upper(base) IN ('G','A','T','C') THEN n ELSE 0 END), 6) AS {b.lower()}_percent"
-    return _with(f"{_POSITIONS} SELECT {_lower('pos', 'max_len')} AS lower_base, {_upper('pos', 'max_len')} AS upper_base, {', '.join(of(b) for b in 'GATC')} FROM c, m GROUP BY 1, 2", long)
+    return _with(f"{_POSITIONS} SELECT {_lower('pos', 'max_len')} AS lower_base, {_upper('pos', 'max_len')} AS upper_base, {', '.join(of(b) for b in 'GATC')} FROM c, m GROUP BY 1, 2", kind)
 
 
-def _n(long: bool = False) -> str:
-    return _with(f"{_POSITIONS} SELECT {_lower('pos', 'max_len')} AS lower_base, {_upper('pos', 'max_len')} AS upper_base, round(100.0::DOUBLE * sum(CASE WHEN base = 'N' THEN n ELSE 0 END) / sum(n), 6) AS percentage FROM c, m GROUP BY 1, 2", long)
+def _n(kind: str = "reads") -> str:
+    return _with(f"{_POSITIONS} SELECT {_lower('pos', 'max_len')} AS lower_base, {_upper('pos', 'max_len')} AS upper_base, round(100.0::DOUBLE * sum(CASE WHEN base = 'N' THEN n ELSE 0 END) / sum(n), 6) AS percentage FROM c, m GROUP BY 1, 2", kind)
 
 
 _TILE = f"""
@@ -149,14 +173,14 @@ SELECT gc_pct, round(v, 6) AS count, round(t, 6) AS theoretical, round(mode, 6)
   round(100 * sum(abs(t - v)) OVER () / total, 6) AS deviation_percent FROM th"""
 
 
-def _lengths(long: bool = False) -> str:
+def _lengths(kind: str = "reads") -> str:
     return _with(f"""
 c AS (SELECT length(seq) AS len, count(*) AS n FROM reads GROUP BY ALL),
 e AS (SELECT greatest(min(len) - 1, 0) AS lo, max(len) + 1 AS hi FROM c),
 s AS (SELECT *, list_filter({_LENGTH_STEPS}, lambda s: (hi - lo) // s <= 50)[1] AS step FROM e),
 b AS (SELECT unnest(range(lo // step * step, hi + 1, step)) AS a, step, hi FROM s)
 SELECT CAST(a AS BIGINT) AS lower_length, CAST(least(hi, a + step - 1) AS BIGINT) AS upper_length, CAST(coalesce(sum(n), 0) AS BIGINT) AS count
-FROM b LEFT JOIN c ON len >= a AND len < a + step GROUP BY a, step, hi""", long)
+FROM b LEFT JOIN c ON len >= a AND len < a + step GROUP BY a, step, hi""", kind)
 
 
 _TRACKED = """
@@ -178,9 +202,29 @@ FROM lab LEFT JOIN s ON lab.slot = s.slot GROUP BY lab.slot, label"""
 _OVER = f"{_TRACKED} SELECT seq, n AS count, round(n * 100.0::DOUBLE / total, 6) AS percentage FROM t, l WHERE n * 100.0::DOUBLE / total > 0.1"
 
 
-def _adapters(long: bool = False) -> str:
-    from ..config import QcConfig
-
+def _hits() -> str:
+    """Best contaminant in SQL: islands of equal bases of each alignment that has enough of them, joined over single gaps."""
+    strands = [(i, name, d, x) for i, (name, own) in enumerate(QcConfig().contaminants) for d, x in enumerate((own, other_strand(own)))]
+    rows = ", ".join(f"""({i}, '{name.replace("'", "''")}', {d}, '{x}')""" for i, name, d, x in strands)
+    return f"""{_OVER.replace("SELECT seq, n AS count", ", o AS (SELECT seq, n AS count", 1)}),
+st(ord, name, d, s) AS (VALUES {rows}),
+al AS (SELECT *, unnest(range({LEAST_RUN} - length(s), length(seq) - {LEAST_RUN})) AS off FROM o, st WHERE length(seq) >= {LEAST_RUN} OR length(seq) < 8),
+lap AS (SELECT *, greatest(0, off) AS a, least(length(seq), length(s) + off) AS z FROM al),
+few AS (SELECT * FROM lap WHERE z - a > {LEAST_RUN} AND z - a - hamming(substr(seq, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)), substr(s, CAST(a - off + 1 AS BIGINT), CAST(z - a AS BIGINT))) >= {LEAST_RUN}),
+j AS (SELECT seq, ord, d, off, s, unnest(range(a, z)) AS j FROM few),
+eq AS (SELECT seq, ord, d, off, j, j - row_number() OVER (PARTITION BY seq, ord, d, off ORDER BY j) AS island FROM j WHERE substr(seq, CAST(j + 1 AS BIGINT), 1) = substr(s, CAST(j - off + 1 AS BIGINT), 1)),
+run AS (SELECT seq, ord, d, off, min(j) AS a, max(j) + 1 AS z FROM eq GROUP BY seq, ord, d, off, island),
+two AS (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM run WINDOW w AS (PARTITION BY seq, ord, d, off ORDER BY a)),
+hit AS (SELECT seq, ord, d, off, z, z - CASE WHEN a - pz = 1 THEN pa ELSE a END AS length, CASE WHEN a - pz = 1 THEN 1 ELSE 0 END AS off_by FROM two),
+long AS (SELECT seq, ord, d, off, z, length, (length - off_by) * 100 // length AS pct FROM hit WHERE length > {LEAST_RUN}
+         UNION ALL SELECT seq, ord, d, 0, 0, length(seq), 100 FROM o, st WHERE seq = s AND length(seq) BETWEEN 8 AND {LEAST_RUN - 1}),
+own AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY seq, ord ORDER BY length DESC, d, off, z) = 1),
+best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY seq ORDER BY length DESC, ord DESC) = 1)
+SELECT o.seq, o.count, o.percentage, coalesce(n.name || ' (' || best.pct || '% over ' || best.length || ' bp) ' || best.d, 'No Hit') AS possible_source
+FROM o LEFT JOIN best USING (seq) LEFT JOIN (SELECT DISTINCT ord, name FROM st) n USING (ord)"""
+
+
+def _adapters(kind: str = "reads") -> str:
     rows = ", ".join(f"""({i}, '{name.replace("'", "''")}', '{seq}')""" for i, (name, seq) in enumerate(QcConfig().adapters))
     return _with(f"""
 a(adapter_ord, adapter, s) AS (VALUES {rows}),
@@ -190,7 +234,7 @@ m AS (SELECT max(length(seq)) - 12 AS max_len, count(*) AS total FROM reads),
 p AS (SELECT adapter_ord, adapter, unnest(range(0, max_len)) AS p, max_len, total FROM a, m),
 c AS (SELECT p.adapter_ord, p.adapter, p.p + 1 AS pos, p.max_len, p.total, coalesce(sum(h.n), 0) AS n FROM p LEFT JOIN h ON h.adapter_ord = p.adapter_ord AND h.i <= p.p AND p.p < h.room GROUP BY ALL),
 g AS (SELECT adapter_ord, adapter, {_lower('pos', 'max_len')} AS lower_base, {_upper('pos', 'max_len')} AS upper_base, sum(n) AS n, max(total) AS total FROM c GROUP BY 1, 2, 3, 4)
-SELECT CAST(adapter_ord AS INTEGER) AS adapter_ord, adapter, lower_base, upper_base, round(n * 100.0::DOUBLE / total / (upper_base - lower_base + 1), 6) AS enrichment FROM g""", long)
+SELECT CAST(adapter_ord AS INTEGER) AS adapter_ord, adapter, lower_base, upper_base, round(n * 100.0::DOUBLE / total / (upper_base - lower_base + 1), 6) AS enrichment FROM g""", kind)
 
 
 _KMERS = f"""
@@ -219,24 +263,33 @@ FROM b JOIN f USING (kmer) ORDER BY top DESC, kmer LIMIT 20"""
 
 SQL = {
     "basic_statistics": _basic(),
-    "basic_statistics_long": _basic(True),
+    "basic_statistics_long": _basic("long"),
     "per_base_quality": _quality(),
-    "per_base_quality_long": _quality(True),
+    "per_base_quality_long": _quality("long"),
     "per_tile_quality": _with(_TILE),
     "per_sequence_quality": _with(_SCORES),
     "per_base_content": _content(),
-    "per_base_content_long": _content(True),
+    "per_base_content_long": _content("long"),
     "n_content": _n(),
-    "n_content_long": _n(True),
+    "n_content_long": _n("long"),
     "gc_distribution": _with(f"{_GC} SELECT gc_pct, round(v, 6) AS count FROM dist"),
-    "gc_distribution_long": _with(f"{_GC} SELECT gc_pct, round(v, 6) AS count FROM dist", True),
+    "gc_distribution_long": _with(f"{_GC} SELECT gc_pct, round(v, 6) AS count FROM dist", "long"),
     "gc_theoretical": _with(_THEORY),
     "length_distribution": _lengths(),
-    "length_distribution_long": _lengths(True),
+    "length_distribution_long": _lengths("long"),
     "duplication_levels": _with(_DUPLICATION),
     "overrepresented_seqs": _with(_OVER),
+    "contaminant_hits": _with(_hits(), "spiked"),
+    "duplication_levels_long": _with(_DUPLICATION, "long"),
+    "duplication_levels_capped": _with(_DUPLICATION.replace("100000", str(CAP))),
+    "overrepresented_capped": _with(_OVER.replace("100000", str(CAP)), "spiked"),
+    "per_tile_quality_short_ids": _with(_TILE, "spiked"),
+    "gc_distribution_very_long": _with(f"{_GC} SELECT gc_pct, round(v, 6) AS count FROM dist", "very_long"),
+    "kmer_obs_exp_very_long": _with(_OBS_EXP, "very_long"),
+    "fastq_scan": _with("x AS (SELECT 1) SELECT read_idx, id, seq, qual FROM reads", "spiked"),
+    "fastq_per_base_quality": _quality("spiked"),
     "adapter_content": _adapters(),
-    "adapter_content_long": _adapters(True),
+    "adapter_content_long": _adapters("long"),
     "kmer_obs_exp": _with(_OBS_EXP),
     "kmer_enrichment": _with(_ENRICHED),
     "revcomp": _with("x AS (SELECT * FROM reads) SELECT read_idx, reverse(translate(regexp_replace(seq, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca')) AS revcomp FROM x"),

@@ -86,8 +86,12 @@ MODULES = (
 COMPATIBLE = {"Overrepresented sequences": "Sequence Duplication Levels", "Kmer Content": "Adapter Content"}
 
 
+#: Names of reports in the limits, where they can be set to be ignored.
+LIMIT_NAMES = dict(zip((m[0] for m in MODULES[1:]), ("quality_base", "tile", "quality_sequence", "sequence", "gc_sequence", "n_content", "sequence_length", "duplication", "overrepresented", "adapter", "kmer"), strict=True))
+
+
 def build(reads: DataFrame, cfg: QcConfig | None = None) -> list[Report]:
-    """All reports; their tables are small (positions, bins, fewer than 1000 sequences). Modules set to ignore are left out."""
+    """All reports; their tables are small (positions, bins, fewer than 1000 sequences). Reports whose limit `ignore` is not 0 are left out."""
     cfg = cfg or QcConfig()
     reads = reads.persist()
     try:
@@ -96,7 +100,7 @@ def build(reads: DataFrame, cfg: QcConfig | None = None) -> list[Report]:
         status = {r["report"]: r["status"] for r in statuses(reads, cfg).collect()}
         out = []
         for name, operator, order, takes in MODULES:
-            if name in status:
+            if name in status and not cfg.limits.get(f"{LIMIT_NAMES.get(name)}:ignore", 0):
                 df = operator(reads, cfg) if takes else operator(reads)
                 df = df.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order]) if order else df
                 out.append(Report(name, status[name], df.columns, [tuple(r) for r in df.collect()]))

@@ -24,7 +24,28 @@ FROM (SELECT o_orderkey, substring(concat(md5(k), md5(concat('b', k)), md5(conca
 """
 
 
-def derived_reads(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
+#: One order in twenty as a read of 960 to 1440 bases.
+VERY_LONG_READS = f"""
+SELECT (read_idx - 1) div 20 + 1 AS read_idx, id, repeat(seq, 12) AS seq, repeat(qual, 12) AS qual FROM ({LONG_READS}) l WHERE (read_idx - 1) % 20 = 0
+"""
+
+#: Sequences of which reads are made that a dictionary should know: in full, reversed and complemented, and with one base changed.
+SPIKES = (
+    "AATGATACGGCGACCACCGAGATCTACACTCTTTCCCTACACGACGCTCTTCCGATCT", "AGATCGGAAGAGCGGTTCAGCAGGAATGCCGAG", "CTCGGCATTCCTGCTGAACCGCTCTTCCGATCT",
+    "GATCGGAAGAGCACACGTCTGAACTCCAGTCACATCACGATCTCGTATGCCGTCTTCTGCTTG", "CAAGCAGAAGACGGCATACGAGATCGTGATGTGACTGGAGTTC", "AGATCGGAAGAGCACACGTCTGTACTCCAGTCA", "ACGTACGTACGTACGTACGTACGTACGT",
+)
+
+SPIKED_READS = f"""
+SELECT o_orderkey + 1 AS read_idx, concat('@S:1:', cast(2101 + o_orderkey % 5 AS varchar(10)), ':7:', cast(o_orderkey AS varchar(20))) AS id, seq, substring(q, 1, length(seq)) AS qual
+FROM (SELECT o_orderkey, concat(q, q) AS q, substring(CASE {' '.join(f"WHEN o_orderkey % 9 = {i} THEN concat(substring(h, 1, cast(o_orderkey % 4 AS int)), '{x}', h)" for i, x in enumerate(SPIKES))} ELSE h END, 1, cast(12 + o_orderkey % 45 AS int)) AS seq
+      FROM (SELECT o_orderkey, translate(md5(cast(o_orderkey % 36 AS varchar(20))), '0123456789abcdef', 'ACGTACGTACGTACGN') AS h,
+                   translate(md5(concat('q', cast(o_orderkey AS varchar(20)))), '0123456789abcdef', '(+.147:=@ABCDEFG') AS q FROM {{orders}}) s) t
+"""
+
+KINDS = {"reads": READS, "long": LONG_READS, "very_long": VERY_LONG_READS, "spiked": SPIKED_READS}
+
+
+def derived_reads(spark: SparkSession, sf_dir: str, kind: str = "reads") -> DataFrame:
     """read_idx (1-based, contiguous), id, seq, qual."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    return spark.sql(LONG_READS if long else READS, orders=orders)
+    return spark.sql(KINDS[kind], orders=orders)

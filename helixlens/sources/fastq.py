@@ -11,6 +11,8 @@ import gzip
 import urllib.parse
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -66,11 +68,29 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqDataSource)
 
 
+LINES = "file string, read_idx long, id string, seq string, qual string"
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of batches(file, line, value) that hold whole records in order."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        n = batch.num_rows // 4 * 4
+        rest = batch.slice(n) if n < batch.num_rows else None
+        if n:
+            line = lambda k: batch.column(2).take(pa.array(range(k, n, 4)))  # noqa: B023, E731
+            first = pa.array(range(0, n, 4))
+            record = pc.add(pc.divide(batch.column(1).take(first), 4), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(first), record, line(0), line(1), line(3)], names=["file", "read_idx", "id", "seq", "qual"])
+
+
 def read_fastq(spark: SparkSession, path: str | list[str], keep_file: bool = False) -> DataFrame:
     """Reads of one or more FASTQ files: read_idx, id, seq, qual (and file), numbered from 1 in each file.
 
-    Lines are numbered inside a split by their place in the scan, and splits by the lines of those before. The four
-    lines of a record meet in one aggregation, since a split may end inside a record.
+    Lines are numbered inside a split by their place in the scan, and splits by the lines of those before. Records that
+    lie in one split are put together where they are read; of the others, at most one at either end of a split, the
+    lines meet in an aggregation. So the text is scanned (for counts, for records, for loose lines) and never shuffled.
     """
     text = spark.read.option("lineSep", "\n").text(path)
     place = text.select(
@@ -78,13 +98,22 @@ def read_fastq(spark: SparkSession, path: str | list[str], keep_file: bool = Fal
     )
     splits = place.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    splits = splits.select("file", "block", "first", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     numbered = place.join(F.broadcast(splits), ["file", "block"]).withColumn("line", F.col("ahead") + F.col("at") - F.col("first"))
+    start = F.col("line") - F.col("line") % 4
+    inside = (start >= F.col("ahead")) & (start + 4 <= F.col("ahead") + F.col("n"))
+    whole = numbered.filter(inside).select("file", "line", "value").mapInArrow(_assembled, LINES)
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
-    rows = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(F.count(F.lit(1)).alias("lines"), part(0).alias("id"), part(1).alias("seq"), part(3).alias("qual"))
+    loose = numbered.filter(~inside).groupBy("file", (F.floor(F.col("line") / 4) + 1).alias("read_idx")).agg(F.count(F.lit(1)).alias("lines"), part(0).alias("id"), part(1).alias("seq"), part(3).alias("qual"))
+    full = F.when(F.col("lines") == 4, F.col("id")).otherwise(F.raise_error(F.format_string("record %d of %s is incomplete", F.col("read_idx"), "file")))
+    rows = whole.unionByName(loose.withColumn("id", full).drop("lines"))
     cut = F.when(F.endswith("id", F.lit("\r")), 1).otherwise(0)
     trimmed = lambda c: F.substring(c, F.lit(1), F.length(c) - cut)
-    whole = F.when(F.col("lines") == 4, F.col("id")).otherwise(F.raise_error(F.format_string("record %d of %s is incomplete", F.col("record") + 1, "file")))
-    rows = rows.withColumn("id", whole).select("file", (F.col("record") + 1).alias("read_idx"), trimmed("id").alias("id"), trimmed("seq").alias("seq"), trimmed("qual").alias("qual"))
+    rows = rows.select("file", "read_idx", trimmed("id").alias("id"), trimmed("seq").alias("seq"), trimmed("qual").alias("qual"))
     rows = rows.withColumn("qual", F.substring("qual", F.lit(1), F.length("seq")))
     return rows if keep_file else rows.drop("file")
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """reads(id, seq, qual) as FASTQ files, a file a partition, in the order of each partition."""
+    reads.select(F.concat_ws("\n", "id", "seq", F.lit("+"), "qual").alias("value")).write.text(path)

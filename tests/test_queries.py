@@ -11,10 +11,7 @@ from helixlens.plans import catalog
 def test_query(spark, sf, name):
     got = __spark_entry__.queries()[name](spark, sf).toPandas()
     assert len(got)
-    sql = __spark_entry__.oracle_sql().get(name)
-    if sql is None:
-        assert name == "contaminant_hits"
-        return
+    sql = __spark_entry__.oracle_sql()[name]
     con = duckdb.connect()
     con.execute(f"create view orders as select * from '{sf}/orders.parquet'")
     want = con.execute(sql).df()

@@ -166,6 +166,13 @@ def test_reports(spark):
     assert len(plain["Per tile sequence quality"]["tiles"]) == len(plain["Per tile sequence quality"]["qualities"]) == 3
 
 
+def test_ignored_reports(spark):
+    cfg = QcConfig()
+    cfg = QcConfig(limits={**cfg.limits, "kmer:ignore": 1.0, "gc_sequence:ignore": 1.0})
+    names = [r.name for r in build(frame(spark, [("ACGTACGTAC", "IIIIIIIIII")] * 3), cfg)]
+    assert "Kmer Content" not in names and "Per sequence GC content" not in names and "Basic Statistics" in names
+
+
 def test_stream(spark, tmp_path):
     df = frame(spark, [("ACGT", "IIII"), ("AAAA", "5555")])
     df.write.parquet(str(tmp_path / "in"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, map_rows, piece_hash, prefix_hash, tasks, text_of
+from .common import documents, durable, even_keys, map_rows, piece_hash, prefix_hash, tasks, text_of
 
 K = 24
 WINDOW = 73
@@ -136,7 +136,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat an id in the order of a hash of their texts. Null texts are empty; two empty texts have likeness 1.
     """
     rows, n = with_next(docs, id_col, text_col)
-    dealt = rows.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "code")
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(n + 1)])  # a range a task; null ids, if any, are one more
+    dealt = rows.withColumn("task", F.element_at(keys, F.col("part").cast("int") + 1)).repartition(n + 1, "task").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "code")
     return dealt.select("doc_id", "text", "part", "tail").mapInArrow(_edited(k, window), EDITED)
 
 

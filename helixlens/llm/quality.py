@@ -17,6 +17,8 @@ PASSAGE_WORDS = 100
 #: Labelled training documents that the network is fitted to, at most: those of the least hashed ids.
 SAMPLE_DOCUMENTS = 6000
 HIDDEN, ATTENTION, ROUNDS = 24, 12, 60
+#: A small sample is gone over more often.
+LEAST_BAGS, MOST_ROUNDS = 40_000, 600
 THRESHOLD = 0.7
 BIGRAMS = 64
 
@@ -107,12 +109,15 @@ class AttentionNet:
         return [x.T @ da, da.sum(axis=0), h.T @ dt, h.T @ dg, (t * g).T @ de[:, None], z.T @ ds[:, None], np.array([ds.sum()])]
 
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4) -> AttentionNet:
-        """Adam over shuffled batches of bags; the same data give the same network."""
+        """Adam over shuffled batches of bags; the same data give the same network.
+
+        At least `rounds` times over the bags, and as often as makes LEAST_BAGS of them (at most MOST_ROUNDS times).
+        """
         self.shift, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-2
         r, n = np.random.default_rng(11), len(y)
         first, last = np.searchsorted(bag, np.arange(n)), np.searchsorted(bag, np.arange(n), side="right")
         m, q, step = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
-        rounds = max(rounds, min(600, 40_000 // max(1, n)))
+        rounds = max(rounds, min(MOST_ROUNDS, LEAST_BAGS // max(1, n)))
         for k in range(rounds):
             for own in np.array_split(r.permutation(n), max(1, n // batch)):
                 rows = np.concatenate([np.arange(first[i], last[i]) for i in own])
@@ -128,7 +133,8 @@ class AttentionNet:
 def fit(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS) -> AttentionNet:
     """A network learnt from marked(doc_id, label) documents, at most sample_documents of them.
 
-    Labels other than 0 and 1, null ids and ids without a document are left out. Without any, the network is untrained.
+    Labels other than 0 and 1, null ids and ids without a document are left out. Where all that is left is of one
+    label, or nothing is, the score of every document is that label's share (0.5 for nothing), kept off 0 and 1.
     """
     marked = marked.filter("doc_id is not null and label in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label"))
     sample = marked.orderBy(F.xxhash64("__id"), "__id").limit(sample_documents)
@@ -144,9 +150,14 @@ def fit(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: st
 
     bags = map_rows(rows, describe, "doc_id long, label int, passages binary").orderBy("doc_id").toArrow()
     net = AttentionNet()
-    if bags.num_rows:
+    y = bags["label"].to_numpy().astype(float)
+    if not 0 < y.sum() < len(y):
+        net.p[5][:] = 0
+        share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
+        net.p[6][:] = np.log(share / (1 - share))
+    else:
         x = [np.frombuffer(b.as_py(), np.float32).reshape(-1, FEATURES) for b in bags["passages"]]
-        net.fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), bags["label"].to_numpy().astype(float))
+        net.fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), y)
     return net
 
 

@@ -342,8 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes, null is empty. A byte goes when it is covered by a string of `length` bytes that starts
     anywhere else too, in any row, overlapping or not; all strings are judged on the input. Repeated rows are two
-    places of the same strings, so all of such a text goes if it is long enough. Texts shorter than length stay whole
-    unless null. The bytes left need not be UTF-8: a cut may fall inside a character.
+    places of the same strings, so all of such a text goes if it is long enough. Texts shorter than length stay whole; a null one gives no bytes. The bytes left need not be UTF-8: a cut may fall inside a character.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     coded = rows.withColumn("code", F.xxhash64("text"))

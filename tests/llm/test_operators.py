@@ -511,7 +511,9 @@ def test_quality(spark, docs, empty):
     assert len(rows) == len(awkward()) and all(abs(sum(r["attention"]) - 1) < 1e-6 for r in rows)
     assert quality.quality_scores(empty, net).count() == 0
     untrained = quality.fit(empty, docs.select("doc_id", F.lit(1).alias("label")).limit(0))
-    assert all((a == b).all() for a, b in zip(untrained.p, net.p, strict=True))
+    assert {r["score"] for r in quality.quality_scores(docs, untrained).collect()} == {0.5}
+    bad = quality.fit(docs, docs.filter("doc_id < 5").select("doc_id", F.lit(0).alias("label")))
+    assert all(r["score"] < 0.01 for r in quality.quality_scores(docs, bad).collect())
 
 
 def test_quality_gradient():

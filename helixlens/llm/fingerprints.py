@@ -2,7 +2,8 @@
 
 All k-grams of code points are hashed with a rolling (prefix-sum) hash; of every window of WINDOW hashes the least is
 chosen, the rightmost of equals, and kept with its position. Any run of K + WINDOW - 1 code points that two texts
-share therefore has a chosen hash in common, and no run shorter than K can.
+share therefore has a chosen hash in common, and no run shorter than K can. Texts of under 128 code points have smaller
+grams and windows by a fixed rule of their length, so that a run of three quarters of the text is still enough.
 """
 
 from __future__ import annotations
@@ -40,6 +41,13 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     return (best >> np.uint64(32)).astype(np.uint32), (np.uint64(0xFFFFFFFF) - (best & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def sizes(n: int, k: int = K, window: int = WINDOW) -> tuple[int, int]:
+    """k and window for a text of n code points: halved until three quarters of it are sure to share a chosen hash."""
+    while k + window > 2 and 3 * n < 4 * (k + window - 1):
+        k, window = max(1, k // 2), max(1, window // 2)
+    return k, window
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Shared share of the distinct chosen hashes of two texts; two empty texts are alike."""
     a, b = np.unique(a), np.unique(b)
@@ -57,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def make():
         def one(batch):
-            got = [winnow(t, k, window) for t in batch.column(1).to_pylist()]
+            got = [winnow(t, *sizes(len(t), k, window)) for t in batch.column(1).to_pylist()]
             yield {"doc_id": batch.column(0), "positions": [p for _, p in got], "hashes": [h.astype(np.int64) for h, _ in got]}
 
         return one
@@ -107,7 +115,7 @@ def _edited(k: int, window: int):
     def row(doc_id, text, following):
         cut = len(text) // 4
         edited = text[: len(text) - cut] + following[:cut]
-        (h, p), (eh, ep), (nh, _) = winnow(text, k, window), winnow(edited, k, window), winnow(following, k, window)
+        (h, p), (eh, ep), (nh, _) = (winnow(t, *sizes(len(t), k, window)) for t in (text, edited, following))
         sha = hashlib.sha256(edited.encode()).hexdigest()
         return doc_id, len(text), sha, fingerprint(h, p), fingerprint(eh, ep), likeness(h, eh), likeness(h, nh)
 

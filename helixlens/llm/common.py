@@ -9,6 +9,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
@@ -220,6 +221,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
     return df.mapInArrow(run, schema)
 
 
+def packed(columns: list[np.ndarray], ascending: tuple[int, ...]) -> bytes:
+    """Columns of numbers in few bytes: differences of ascending ones, the narrowest type of the others, like bytes together."""
+    out = []
+    for i, x in enumerate(columns):
+        if i in ascending:
+            x = np.diff(x, prepend=x.dtype.type(0))
+        elif x.dtype != np.uint64:
+            x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        out.append((x.dtype.str, len(x), np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()))
+    return zlib.compress(pickle.dumps((ascending, out), 5), 1)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    ascending, columns = pickle.loads(zlib.decompress(blob))
+    out = [np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind) for kind, n, raw in columns]
+    return [np.cumsum(x, dtype=x.dtype) if i in ascending else x for i, x in enumerate(out)]
+
+
 #: Probes of a Bloom filter, and the pieces in which it travels to its merge.
 PROBES, SLICES = 3, 64
 

@@ -5,8 +5,9 @@ of those seen twice. Filters merge bitwise: twice-seen is either twice-seen, or
 the final twice-seen filter, the suspected repeats, are shuffled, as digests, for an exact count and the choice of the
 document that keeps them. A false positive of a filter costs a shuffled digest and never changes a result.
 
-The filters' size follows the text and stops at MAX_BITS, which bounds what is broadcast; a corpus that overfills
-them makes more lines suspected, up to an ordinary shuffle of all line digests, with the same results.
+The filters' size follows the text. Up to MAX_BITS they are merged on the driver and broadcast. Beyond that they are
+split by hash into shards of SHARD_BITS, each held by one task: the digests of all lines go to their shard, sorted and
+packed, with the documents that hold them, and the shard's two filters let through the suspected ones alone.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add, documents, has, join_counted, joined_slices, map_rows, probes, sliced, slices, text_of
+from .common import add, documents, even_keys, has, join_counted, joined_slices, map_rows, packed, probes, signed, sliced, slices, text_of, unpacked
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
-#: Bits of a filter at most (64 MB).
-MAX_BITS = 1 << 29
+#: Bits of a filter that is broadcast, at most (64 MB), and of a shard of a larger one, which half a gigabyte of text fills.
+MAX_BITS, SHARD_BITS = 1 << 29, 1 << 26
+#: Lines that a task packs at a time.
+BLOCK_LINES = 1 << 19
 #: A filter has about a bit for so many bytes of text.
 BYTES_A_BIT = 8
 
@@ -76,15 +79,71 @@ def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(twice.tobytes(), 1)]})
 
 
-def repeat_filter(texts: DataFrame, min_length: int = MIN_LENGTH) -> np.ndarray:
-    """The twice-seen filter of all lines of texts(text), of at most MAX_BITS bits, on the driver."""
-    n = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, 1 << max(16, (n // BYTES_A_BIT).bit_length()))
-    pieces = texts.mapInArrow(_filters(bits, min_length), "slice int, once binary, twice binary")
+def filter_bits(texts: DataFrame) -> int:
+    """Bits of each filter for all lines of texts(text): a power of two."""
+    return 1 << max(16, ((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_BIT).bit_length())
+
 
+def repeat_filter(texts: DataFrame, min_length: int, bits: int) -> np.ndarray:
+    """The twice-seen filter of all lines of texts(text) on the driver."""
+    pieces = texts.mapInArrow(_filters(bits, min_length), "slice int, once binary, twice binary")
     return joined_slices(pieces.groupBy("slice").applyInPandas(_merge, "slice int, bits binary"), bits)
 
 
+def _sharded(shards: list[int], min_length: int):
+    """A task: the digests of each block of its documents' lines, packed by shard with the ids of the documents that hold them."""
+
+    def blobs(ids, owners, digests):
+        code = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+        owner, shard = np.array(owners, np.int64), (code[:, 1] % np.uint64(len(shards))).astype(np.int64)
+        order = np.lexsort((code[:, 0], shard))
+        ends = np.searchsorted(shard[order], np.arange(len(shards) + 1)).tolist()
+        known, value = np.array([i is not None for i in ids]), np.array([i or 0 for i in ids], np.int64)
+        for key, lo, hi in zip(shards, ends, ends[1:], strict=False):
+            if lo < hi:
+                own = order[lo:hi]
+                used, which = np.unique(owner[own], return_inverse=True)
+                blob = packed([code[own, 0], code[own, 1], which, value[used].view(np.uint64), known[used].astype(np.uint8)], (0,))
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+
+    def run(batches):
+        ids, owners, digests = [], [], []
+        for batch in sliced(batches):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = {*keys_of(t, min_length)} - {None}
+                digests += [hashlib.sha256(k).digest()[:16] for k in own]
+                owners += [len(ids)] * len(own)
+                ids.append(i)
+            if len(digests) >= BLOCK_LINES:
+                yield from blobs(ids, owners, digests)
+                ids, owners, digests = [], [], []
+        if digests:
+            yield from blobs(ids, owners, digests)
+
+    return run
+
+
+def _suspected(bits: int):
+    """A shard: its digests through filters of those seen once and twice; then, of each, whether it was seen twice."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        once, twice, out = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), []
+        for blob in rows["blob"]:
+            distinct, n = np.unique(unpacked(blob)[0], return_counts=True)
+            at = probes(distinct, bits)
+            add(twice, at[(n > 1) | has(once, at)])
+            add(once, at)
+        for blob in rows["blob"]:
+            high, low, which, value, known = unpacked(blob)
+            hit = np.flatnonzero(has(twice, probes(high, bits)))
+            digests = np.column_stack([high[hit], low[hit]]).astype(">u8").tobytes()
+            ids = pd.Series(signed(value)[which[hit]], dtype="Int64").mask(known[which[hit]] == 0)
+            out.append(pd.DataFrame({"doc_id": ids, "digest": [digests[16 * k : 16 * k + 16] for k in range(len(hit))]}))
+        return pd.concat(out)
+
+    return run
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS,
 ) -> DataFrame:
@@ -96,9 +155,10 @@ def dedup_lines(
     ids are one document, below all others.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    spark = docs.sparkSession
-    twice = spark.sparkContext.broadcast(repeat_filter(rows.select("text"), min_length).tobytes())
-    bits = len(twice.value) * 8
+    bits = filter_bits(rows.select("text"))
+    few = bits <= MAX_BITS
+    if few:
+        twice = docs.sparkSession.sparkContext.broadcast(repeat_filter(rows.select("text"), min_length, bits).tobytes())
 
     def suspects():
         bitmap = np.frombuffer(twice.value, np.uint8)
@@ -116,7 +176,12 @@ def dedup_lines(
         return one
 
     # Used several times below: all read the one exchange of distinct().
-    suspected = map_rows(rows, suspects, "doc_id long, digest binary").distinct()
+    if few:
+        suspected = map_rows(rows, suspects, "doc_id long, digest binary").distinct()
+    else:
+        shards = even_keys(max(1, bits // SHARD_BITS))
+        sharded = rows.mapInArrow(_sharded(shards, min_length), "shard long, blob binary").repartition(len(shards), "shard")
+        suspected = sharded.groupBy("shard").applyInPandas(_suspected(min(bits, SHARD_BITS)), "doc_id long, digest binary").distinct()
     repeated = (
         suspected.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))

@@ -308,7 +308,11 @@ def test_clashing_columns(spark, names):
         assert out.columns == df.columns and 0 < out.count() and out.exceptAll(df).distinct().join(df, "doc_id", "left_anti").filter("doc_id is not null").count() == 0
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("most", [1 << 29, 1 << 10])
+def test_line_dedup(docs, empty, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MAX_BITS", most)
+    monkeypatch.setattr(line_dedup, "SHARD_BITS", 1 << 14)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 50)
     rows = awkward()
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     holders = defaultdict(set)
@@ -351,6 +355,10 @@ def test_fingerprints(docs, empty):
             want[i] = (len(t or ""), hashlib.sha256(((t or "")[: len(t or "") - cut] + (u or "")[:cut]).encode()).hexdigest())
     assert len(got) == len(order)
     assert all((r["n_chars"], r["edited_sha256"]) == want[r["doc_id"]] for r in got if r["doc_id"] in want)
+    for n in range(4, 300):
+        text = "".join(map(chr, np.random.default_rng(n).integers(97, 123, n)))
+        edited = text[: n - n // 4] + "#" * (n // 4)
+        assert fingerprints.likeness(*(fingerprints.winnow(t, *fingerprints.sizes(n))[0] for t in (text, edited))) > 0
     long = [r for r in got if r["n_chars"] > 1500]
     assert all(r["near_edited"] > 0.4 for r in long) and all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
     assert len({r["fingerprint"] for r in got if r["doc_id"] in (12, 13)}) == 1

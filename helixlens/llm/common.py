@@ -9,6 +9,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
@@ -40,6 +41,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted: that follows when the driver collects what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a local session (a test) gets one of its own; a cluster has none to fall back on."""
     named, sc = spark.conf.get("spark.checkpoint.dir", ""), spark.sparkContext

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, join_hot, join_skewed, keep_rows, map_rows, mix64, row_key, signed, text_of, word_hashes
+from .common import documents, durable, join_hot, join_skewed, keep_rows, map_rows, mix64, row_key, signed, text_of, tidy, word_hashes
 
 SHINGLE_WORDS = 3
 #: Links need 100 * |intersection| >= PERCENT * |union|.
@@ -140,7 +140,7 @@ def _judged(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return pd.Series(plausible(stack(a), stack(b), na.to_numpy(float), nb.to_numpy(float), percent))
 
     side = lambda x: classes.select(F.col("v").alias(x), F.col("regs").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
-    sized = join_skewed(durable(pairs.join(side("a"), "a")), side("b"), "b")
+    sized = join_skewed(pairs, side("b"), "b").join(side("a"), "a")
     close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     return sized.filter(close).filter(judge("ra", "rb", "na", "nb")).select("a", "b", "na", "nb")
 
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
         .withColumn("v", F.col("first.rid"))
     )
-    banded = durable(classes.select("v", F.explode("bands").alias("key")))
+    banded = classes.select("v", F.explode("bands").alias("key"))
     sizes = durable(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     shared = durable(join_hot(banded, sizes, "key", "size"))
     popular = shared.groupBy("v").agg(F.sum("size").alias("popularity"))
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = durable(pivots)
     to_pivot = join_hot(shared.drop("size"), pivots, "key", "size").filter("v <> pivot").select(F.col("v").alias("a"), F.col("pivot").alias("b")).distinct()
     judged = durable(_judged(durable(to_pivot), classes, percent))
+    tidy(docs.sparkSession)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(v, members) of the classes wanted(v), from the text of one of their rows: rows that share id and text are many to the same class."""
@@ -231,7 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     measured = durable(_overlaps(judged, sets_of(judged.select(F.explode(F.array("a", "b")).alias("v")).distinct())))
     links = measured.filter(_linked(percent)).select("a", "b")
+    tidy(docs.sparkSession)
     found = components(links)
+    tidy(docs.sparkSession)
 
     # What is left: groups of a pivot that hold several components.
     members = to_pivot.select(F.col("a").alias("v"), F.col("b").alias("p")).unionByName(pivots.select(F.col("pivot").alias("v"), F.col("pivot").alias("p")).distinct())
@@ -258,10 +261,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = durable(full.groupBy("p", "yb", "mb").applyInPandas(_links_of_block(percent), "a long, b long").distinct())
         if not more.isEmpty():
             found = components(links.unionByName(more))
+    tidy(docs.sparkSession)
 
     labelled = classes.select("set_key", "v", "first", "rows").join(found, "v", "left").withColumn("label", F.coalesce("label", "v"))
     labelled = durable(labelled)
-    heads = labelled.groupBy("label").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = durable(labelled.groupBy("label").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size")))
     of_class = durable(join_hot(labelled, heads, "label", "size").select("set_key", "head", "rows"))
     of_one = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "code")
     found = join_hot(sketched.filter("n_shingles > 0").select("doc_id", "code", "rid", "n_shingles", "set_key"), of_class, "set_key", "rows")

@@ -23,9 +23,17 @@ def quality_counts(reads: DataFrame, *keys: str) -> DataFrame:
     return exploded.groupBy(*keys, (F.col("pos") + 1).alias("pos"), F.ascii("q").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _grouped(by_pos: DataFrame, cfg: QcConfig, length: DataFrame) -> DataFrame:
+def with_whole(hist: DataFrame, **of_all: Column) -> DataFrame:
+    """hist with max_len, the last position, and aggregates of_all over its rows.
+
+    n is named on both sides: so both read the same columns of one exchange, and the reads are gone over once.
+    """
+    return with_scalar(hist, hist.filter("n > 0").agg(F.max("pos").alias("max_len"), *[c.alias(name) for name, c in of_all.items()]))
+
+
+def _grouped(by_pos: DataFrame, cfg: QcConfig) -> DataFrame:
     lower, upper = group_bounds(F.col("pos"), F.col("max_len"), cfg.grouping)
-    return with_scalar(by_pos, length).withColumns({"lower_base": lower, "upper_base": upper})
+    return by_pos.withColumns({"lower_base": lower, "upper_base": upper})
 
 
 def percentile_at(percent: int) -> Column:
@@ -37,39 +45,35 @@ def percentile_at(percent: int) -> Column:
 def per_base_quality(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
     """lower_base, upper_base, mean and percentiles of quality: means over a group's positions of each position's value."""
     cfg = cfg or QcConfig()
-    hist = quality_counts(reads)
-    whole = hist.agg(F.max("pos").alias("max_len"), encoding_offset(F.min("code")).alias("offset"))
     at = Window.partitionBy("pos")
     running = at.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     by_pos = (
-        with_scalar(hist, whole.select("offset"))
+        with_whole(quality_counts(reads), offset=encoding_offset(F.min("code")))
         .withColumns({"running": F.sum("n").over(running), "total": F.sum("n").over(at)})
-        .groupBy("pos")
+        .groupBy("pos", "max_len")
         .agg(
             (F.sum(F.col("n") * (F.col("code") - F.col("offset"))) / F.sum("n")).alias("mean"),
             *[percentile_at(p).alias(name) for p, name in ((50, "median"), (25, "lower_quartile"), (75, "upper_quartile"), (10, "percentile_10"), (90, "percentile_90"))],
         )
     )
     names = ["mean", "median", "lower_quartile", "upper_quartile", "percentile_10", "percentile_90"]
-    return _grouped(by_pos, cfg, whole.select("max_len")).groupBy("lower_base", "upper_base").agg(*[F.avg(c).alias(c) for c in names])
+    return _grouped(by_pos, cfg).groupBy("lower_base", "upper_base").agg(*[F.avg(c).alias(c) for c in names])
 
 
 def least_percentile(reads: DataFrame, percent: int) -> DataFrame:
     """One row, least_percentile: the least percentile of quality over positions deep enough to have one; 1000 if none is."""
     at = Window.partitionBy("pos")
-    hist = quality_counts(reads)
-    whole = hist.agg(encoding_offset(F.min("code")).alias("offset"))
+    whole = with_whole(quality_counts(reads), offset=encoding_offset(F.min("code")))
     running = F.sum("n").over(at.orderBy("code").rowsBetween(Window.unboundedPreceding, 0))
-    by_pos = with_scalar(hist, whole).withColumns({"running": running, "total": F.sum("n").over(at)}).groupBy("pos").agg(percentile_at(percent).alias("x"))
+    by_pos = whole.withColumns({"running": running, "total": F.sum("n").over(at)}).groupBy("pos").agg(percentile_at(percent).alias("x"))
     return by_pos.agg(F.least(F.coalesce(F.min("x"), F.lit(1000)), F.lit(1000)).alias("least_percentile"))
 
 
 def per_base_content(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
     """lower_base, upper_base, percent of G, A, T and C among those four."""
     cfg = cfg or QcConfig()
-    counts = base_counts(reads)
     of = lambda b: F.sum(F.when(F.upper("base") == b, F.col("n")).otherwise(0))
-    grouped = _grouped(counts, cfg, counts.agg(F.max("pos").alias("max_len"))).groupBy("lower_base", "upper_base").agg(*[of(b).alias(b) for b in "GATC"])
+    grouped = _grouped(with_whole(base_counts(reads)), cfg).groupBy("lower_base", "upper_base").agg(*[of(b).alias(b) for b in "GATC"])
     total = sum((F.col(b) for b in "ATC"), F.col("G"))
     return grouped.select("lower_base", "upper_base", *[F.try_divide(F.col(b) * 100.0, total).alias(f"{b.lower()}_percent") for b in "GATC"])
 
@@ -77,8 +81,7 @@ def per_base_content(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame
 def n_content(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
     """lower_base, upper_base, percent of N (capital) among all symbols."""
     cfg = cfg or QcConfig()
-    counts = base_counts(reads)
-    grouped = _grouped(counts, cfg, counts.agg(F.max("pos").alias("max_len"))).groupBy("lower_base", "upper_base")
+    grouped = _grouped(with_whole(base_counts(reads)), cfg).groupBy("lower_base", "upper_base")
     return grouped.agg((100.0 * F.sum(F.when(F.col("base") == "N", F.col("n")).otherwise(0)) / F.sum("n")).alias("percentage"))
 
 
@@ -101,9 +104,8 @@ def tile_reads(reads: DataFrame, cfg: QcConfig) -> DataFrame:
 def per_tile_quality(reads: DataFrame, cfg: QcConfig | None = None) -> DataFrame:
     """tile, lower_base, upper_base, deviation of the tile's mean quality from the mean over all tiles."""
     cfg = cfg or QcConfig()
-    hist = quality_counts(tile_reads(reads, cfg), "tile")
-    whole = hist.agg(F.max("pos").alias("max_len"), encoding_offset(F.min("code")).alias("offset"))
-    by_pos = with_scalar(hist, whole.select("offset")).groupBy("tile", "pos").agg((F.sum(F.col("n") * (F.col("code") - F.col("offset"))) / F.sum("n")).alias("mean"))
-    grouped = _grouped(by_pos, cfg, whole.select("max_len")).groupBy("tile", "lower_base", "upper_base").agg(F.avg("mean").alias("mean"))
+    hist = with_whole(quality_counts(tile_reads(reads, cfg), "tile"), offset=encoding_offset(F.min("code")))
+    by_pos = hist.groupBy("tile", "pos", "max_len").agg((F.sum(F.col("n") * (F.col("code") - F.col("offset"))) / F.sum("n")).alias("mean"))
+    grouped = _grouped(by_pos, cfg).groupBy("tile", "lower_base", "upper_base").agg(F.avg("mean").alias("mean"))
     across = Window.partitionBy("lower_base")
     return grouped.select("tile", "lower_base", "upper_base", (F.col("mean") - F.avg("mean").over(across)).alias("deviation"))

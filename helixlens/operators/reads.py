@@ -28,9 +28,11 @@ def per_sequence_quality(reads: DataFrame) -> DataFrame:
     total = F.aggregate(letters(F.col("qual")), F.lit(0).cast("long"), lambda s, c: s + F.ascii(c))
     kept = reads.filter(F.length("qual") > 0).select(F.floor(total / F.length("qual")).alias("code"), least_code(F.col("qual")).alias("least"))
     hist = kept.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
-    span = hist.agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.when((F.min("least") >= 32) & (F.min("least") < 64), 33).otherwise(64).alias("offset"))
-    dense = span.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("code"), "offset")
-    return dense.join(hist, "code", "left").select((F.col("code") - F.col("offset")).alias("score"), F.coalesce("n", F.lit(0)).alias("count"))
+    # One row holds the whole histogram, of at most 256 codes: a join back to it would go over the reads again.
+    offset = F.when((F.min("least") >= 32) & (F.min("least") < 64), 33).otherwise(64)
+    whole = hist.agg(F.min("code").alias("lo"), F.max("code").alias("hi"), offset.alias("offset"), F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("by_code"))
+    dense = whole.filter("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("code"), "offset", "by_code")
+    return dense.select((F.col("code") - F.col("offset")).alias("score"), F.coalesce(F.try_element_at("by_code", F.col("code")), F.lit(0)).alias("count"))
 
 
 def gc_claims(length: Column, count: Column) -> Column:

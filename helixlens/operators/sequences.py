@@ -14,15 +14,41 @@ from ..functions.stats import scaled_binomial_tail
 LEVELS = ((0, "1"), (1, "2"), (2, "3"), (3, "4"), (4, "5"), (5, "6"), (6, "7"), (7, "8"), (8, "9"), (9, ">10"), (49, ">50"), (99, ">100"), (499, "500"), (999, ">1k"), (4999, ">5k"), (9999, ">10k"))
 
 
+#: The first look for tracked keys goes over so many reads for each of the cap, the next over eight times as many.
+LOOK, WIDER = 8, 8
+
+
+def _first_keys(reads: DataFrame, cap: int) -> list[tuple[str, int]] | None:
+    """(seq, first_idx) of the first cap distinct keys; None where no range of reads short of all of them has so many."""
+    upto = LOOK * cap
+    while not reads.filter(F.col("read_idx") > upto).isEmpty():
+        found = reads.filter(F.col("read_idx") <= upto).groupBy(dedup_key(F.col("seq")).alias("seq")).agg(F.min("read_idx").alias("first_idx"))
+        first = [tuple(r) for r in found.orderBy("first_idx").limit(cap).collect()]  # cap keys of at most 75 bases
+        if len(first) == cap:
+            return first
+        upto *= WIDER
+    return None
+
+
 def tracked_sequences(reads: DataFrame, cfg: QcConfig) -> DataFrame:
     """(seq, n, first_idx, total, seen_at): the first unique_cap distinct keys, counted over all reads.
 
     A key is tracked when its first read comes among the first unique_cap keys, and then counts from that read on, so
-    a plain count by key is exact. seen_at is the read that fills the cap, or the number of reads.
+    a plain count by key is exact. seen_at is the read that fills the cap, or the number of reads. Where a part of the
+    reads fills the cap, its keys are broadcast and all reads are counted against them: what is shuffled is a row per
+    tracked key and task, however many other keys there are.
     """
-    keys = reads.groupBy(dedup_key(F.col("seq")).alias("seq")).agg(F.count(F.lit(1)).alias("n"), F.min("read_idx").alias("first_idx"))
-    total = reads.agg(F.count(F.lit(1)).alias("total"))
-    kept = keys.orderBy("first_idx").limit(cfg.unique_cap)
+    key = dedup_key(F.col("seq"))
+    first = _first_keys(reads, cfg.unique_cap)
+    if first is None:
+        keys = reads.groupBy(key.alias("seq")).agg(F.count(F.lit(1)).alias("n"), F.min("read_idx").alias("first_idx"))
+        total = reads.agg(F.count(F.lit(1)).alias("total"))
+        kept = keys.orderBy("first_idx").limit(cfg.unique_cap)
+    else:
+        tracked = F.broadcast(reads.sparkSession.createDataFrame(first, "seq string, first_idx long"))
+        keys = reads.select(key.alias("seq")).join(tracked, "seq", "left").groupBy("first_idx").agg(F.first("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+        total = keys.agg(F.sum("n").alias("total"))
+        kept = keys.filter(F.col("first_idx").isNotNull())
     filled = kept.agg(F.count(F.lit(1)).alias("tracked"), F.max("first_idx").alias("last"))
     ends = with_scalar(filled, total).select("total", F.when(F.col("tracked") >= cfg.unique_cap, F.col("last")).otherwise(F.col("total")).alias("seen_at"))
     return with_scalar(kept, ends)

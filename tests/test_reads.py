@@ -74,6 +74,18 @@ def test_tracked_sequences_stop_at_the_cap(spark, seqs, cap):
     assert {r["seen_at"] for r in rows} == {seen_at or len(seqs)}
 
 
+@pytest.mark.parametrize("distinct,cap", [(30, 3), (30, 29), (4, 3), (3, 3), (2, 3)])
+def test_keys_of_a_part_of_the_reads_are_counted_over_all(spark, distinct, cap, monkeypatch):
+    monkeypatch.setattr(sequences, "LOOK", 2)
+    monkeypatch.setattr(sequences, "WIDER", 2)
+    seqs = ["A" * (1 + (i * i // 7) % distinct) for i in range(200)]
+    first = list(dict.fromkeys(seqs))[:cap]
+    rows = sequences.tracked_sequences(frame(spark, [(s, "I" * len(s)) for s in seqs]), QcConfig(unique_cap=cap)).collect()
+    assert {r["seq"]: (r["n"], r["first_idx"]) for r in rows} == {s: (seqs.count(s), seqs.index(s) + 1) for s in first}
+    assert {r["total"] for r in rows} == {200}
+    assert {r["seen_at"] for r in rows} == {seqs.index(first[-1]) + 1 if len(first) == cap else 200}
+
+
 @few
 @given(st.lists(st.integers(0, 130), min_size=1, max_size=20))
 def test_gc_distribution(spark, lengths):

@@ -163,25 +163,34 @@ def _links_of_block(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between the queries of a block and its members of other components, on full sets.
 
-        Shingles that only one set of the block has count in its size alone; the others are columns of a bit matrix.
+        Shingles that only one set of the block has count in its size alone. Those that over 1/32 of the sets have are
+        columns of a bit matrix, so it takes 4 bytes a shingle of the block at most; of the others the holders are listed.
         Components that a link has joined are one from then on, so at most one link less than there are components comes out.
         """
         sizes = rows["members"].map(len).to_numpy()
         tokens = np.concatenate(rows["members"].to_numpy()) if sizes.sum() else np.zeros(0, np.int64)
         _, token, n = np.unique(tokens, return_inverse=True, return_counts=True)
-        of_row = np.repeat(np.arange(len(rows)), sizes)
-        column = np.cumsum(n > 1) - 1
-        shared = n[token] > 1
-        bits = np.zeros((len(rows), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
-        at = column[token[shared]]
-        np.bitwise_or.at(bits, (of_row[shared], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        of_row, end = np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes)
+        often = n > max(1, len(rows) >> 5)
+        column = np.cumsum(often) - 1
+        bits = np.zeros((len(rows), max(1, -(-int(often.sum()) // 64))), np.uint64)
+        at = column[token[often[token]]]
+        np.bitwise_or.at(bits, (of_row[often[token]], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        listed = (n > 1) & ~often
+        own = np.flatnonzero(listed[token])
+        holders = of_row[own[np.argsort(token[own], kind="stable")]]
+        upto = np.cumsum(np.where(listed, n, 0))
         is_y, v = rows["is_y"].to_numpy(bool), rows["v"].to_numpy()
         _, joined = np.unique(rows["label"].to_numpy(), return_inverse=True)
         rest = np.flatnonzero(~is_y)
         a, b = [], []
         for y in np.flatnonzero(is_y):
             near = rest[(joined[rest] != joined[y]) & (np.minimum(sizes[rest], sizes[y]) * 100 >= np.maximum(sizes[rest], sizes[y]) * percent)]
-            common = np.bitwise_count(bits[near] & bits[y]).sum(axis=1, dtype=np.int64)
+            few = token[end[y] - sizes[y] : end[y]]
+            few = few[listed[few]]
+            met = [holders[upto[t] - n[t] : upto[t]] for t in few.tolist()]
+            common = np.bincount(np.concatenate([*met, np.zeros(0, np.int64)]), minlength=len(rows))[near]
+            common += np.bitwise_count(bits[near] & bits[y]).sum(axis=1, dtype=np.int64)
             hit = near[common * 100 >= (sizes[near] + sizes[y] - common) * percent]
             others, first = np.unique(joined[hit], return_index=True)
             a += [v[y]] * len(others)

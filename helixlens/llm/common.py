@@ -9,6 +9,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import tempfile
@@ -213,6 +214,24 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its task hands memory back: workers are reused, and their allocators keep the most that a task took."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        hand_back()
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
     """mapInArrow with a function made once a task: it gets slices of batches and yields dicts of column arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -225,7 +244,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
         for cols in (x for part in sliced(batches) for x in f(part)):
             yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], type=x.type) for x in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def packed(columns: list[np.ndarray], ascending: tuple[int, ...]) -> bytes:

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,27 @@ def test_near_dedup_of_one_id(spark):
     assert len(got) == len(rows) and sum(x["kept"] for x in got) == 3
 
 
+def test_links_of_block_join_what_all_pairs_join():
+    r = np.random.default_rng(5)
+    for size in (1, 3, 40, 70):
+        base = r.choice(400, 60, replace=False)
+        sets = [np.unique(np.where(r.random(60) < r.choice([0.02, 0.1, 0.3]), r.integers(400, 460, 60), base)).astype(np.int64) for _ in range(size)]
+        rows = pd.DataFrame({"v": range(size), "is_y": r.random(size) < 0.5, "label": range(size), "members": sets})
+        pairs = [(y, x) for y in range(size) for x in range(size) if rows.is_y[y] and not rows.is_y[x]]
+        common = {(y, x): len(np.intersect1d(sets[y], sets[x])) for y, x in pairs}
+        linked = [(y, x) for y, x in pairs if 100 * common[y, x] >= 80 * (len(sets[y]) + len(sets[x]) - common[y, x])]
+
+        def classes(links, size=size):
+            label = list(range(size))
+            for a, b in links:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+            return sorted(sorted(i for i in range(size) if label[i] == x) for x in set(label))
+
+        found = near_dedup._links_of_block(80)(rows)
+        assert classes(zip(found["a"], found["b"], strict=True)) == classes(linked)
+
+
 def test_links_of_block_are_a_forest():
     import pandas as pd
 

@@ -11,15 +11,20 @@ N_c(v) and M_c the sums of n_c(v.) and m_c(.), and no index c for both classes t
 
 Expressions (words, and pairs of words) with fewer than LEAST_CONTEXTS contexts have no class counts: a rare one is
 smoothed through the shared backoff counts and costs both classes the same. A pair that is not kept is compared by its
-last word, since lambda is shared. A document's log-likelihoods under both models are compared, divided by its number
-of words. Most words of a toxic text are ordinary, and over a whole text their small differences of either sign hide
-the few that matter; so expressions whose difference stays below TELLING are treated as equally likely. A logistic
-curve turns the difference, per word and in all, into a score.
+last word, since lambda is shared. Most words of a toxic text are ordinary, and some of an ordinary one may be toxic; so
+each word of a text is drawn from the toxic model with probability s_1 (toxic texts) or s_0 (ordinary ones), SHARES,
+else from the ordinary model. With r = p_1(w | v) / p_0(w | v), a word adds to the difference of the text's log-likelihoods
+
+    g(w | v) = log[1 - s_1 + s_1 r] - log[1 - s_0 + s_0 r]
+
+Every word counts, with its sign and however little it tells. A logistic curve turns three numbers into a score: the
+plain difference of the log-likelihoods under both models divided by the text's length, and the sum of g per word and
+in all.
 
 Counts cover all labelled training documents, in tables with a row for each distinct expression that grow with them.
-Documents look their words up by a join; a Bloom filter of bounded size over the telling expressions keeps most words
-from being shuffled, and a fuller filter lets more pass and loses none. Evidence is summed in fixed point, so that it
-depends neither on the order of rows nor on their layout.
+The most frequent expressions, LOCAL at most, are broadcast and looked up where the documents are; words that may be
+any other, by a Bloom filter of bounded size, are looked up by a join. A fuller filter lets more pass and loses none.
+Differences are summed in fixed point, so that they depend neither on the order of rows nor on their layout.
 """
 
 from __future__ import annotations
@@ -41,14 +46,18 @@ from .common import bloom, documents, durable, even_keys, has, held_out, join_co
 DISCOUNT = 3
 #: Expressions with fewer distinct contexts, classes together, have no class counts.
 LEAST_CONTEXTS = 5
-#: Differences of log-likelihood below this one count as none.
-TELLING = 1.0
+#: The parts of an ordinary and of a toxic text's words that the toxic model is taken to have written.
+SHARES = (0.005, 0.05)
+#: Expressions that are broadcast (some 32 bytes each, of which the places in the table take half).
+LOCAL = 1 << 21
 #: Labelled training documents that the logistic curve is fitted to, at most. A document of one of FOLDS parts of them is judged by counts without that part.
 CURVE_DOCUMENTS, FOLDS = 6000, 4
 THRESHOLD = 0.5
 
-#: Evidence is counted in these units.
-UNIT = 2.0**-20
+#: Differences of log-likelihood are counted in these units.
+UNIT = 2.0**-24
+#: The curve sees differences beyond these, per word and in all, by their logarithm.
+PER_WORD, IN_ALL = 1e-2, 1.0
 #: Words whose expressions a task counts at a time.
 BLOCK_WORDS = 1 << 20
 #: Labels that are broadcast (some 200 MB in a hash table); of more, only a filter is, and their texts are shuffled.
@@ -212,16 +221,45 @@ def _excess(n: Column) -> Column:
     return F.greatest(n - DISCOUNT, F.lit(0)).cast("double")
 
 
+@dataclass
+class Table:
+    """Numbers (a row of units) by 64-bit hash; the last row stands for hashes that are not there."""
+
+    keys: np.ndarray
+    units: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.keys, kind="stable")
+        self.units = np.concatenate([self.units[order], np.zeros((1, self.units.shape[1]), self.units.dtype)])
+        self.keys = np.append(self.keys[order], ~np.uint64(0))
+        bits = len(order).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each hash."""
+        at = self.first[h >> self.shift]
+        low = np.flatnonzero(self.keys[at] < h)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < h[low]]
+        return np.where(self.keys[at] == h, at, np.int32(len(self.keys) - 1))
+
+
 @dataclass
 class Model:
-    """expressions(key, v, w, e): e has the difference of log-likelihoods without each fold, then with all; v is ANY for a word."""
+    """Expressions and their g in UNITs, without each fold and then with all, and in the same order their plain differences.
 
-    expressions: DataFrame
+    The most frequent ones are local, by expression(v, w). others(key, v, w, units), None without any, are in filter.
+    """
+
+    local: Table
+    others: DataFrame | None
     filter: np.ndarray
 
 
 def differences(stats: DataFrame) -> DataFrame:
-    """(v, w, e, last) of words (v is ANY) and kept pairs, last being the e of the last word; stats: stored statistics()."""
+    """(v, w, e, n) of words (v is ANY) and kept pairs, n being their contexts of both classes; stats: stored statistics()."""
     x = lambda c, f: F.col(f"x{c}_{f}")
     word = stats.filter(F.col("kind") == WORD)
     known = F.col("pooled") >= LEAST_CONTEXTS
@@ -231,18 +269,16 @@ def differences(stats: DataFrame) -> DataFrame:
     free = {(c, f): 1 - of(EXCESS, f"x{c}_{f}") / m[c, f] for c, f in CASES}
     q = F.col("pooled") / float(of(TOTAL, "pooled") or 1)
     u = {k: F.when(known, _excess(x(*k)) / m[k] + free[k] * q).otherwise(q) for k in CASES}
-    word = word.select(F.col("a").alias("w"), "kept", *(u[c, f].alias(f"u{c}_{f}") for c, f in CASES))
+    word = word.select(F.col("a").alias("w"), "kept", F.col("pooled").alias("n"), *(u[c, f].alias(f"u{c}_{f}") for c, f in CASES))
     e = lambda p: F.array(*[F.log(p(1, f)) - F.log(p(0, f)) for f in range(FOLDS + 1)])
-    words = word.select(F.lit(ANY).cast("long").alias("v"), "w", e(lambda c, f: F.col(f"u{c}_{f}")).alias("e"))
+    words = word.select(F.lit(ANY).cast("long").alias("v"), "w", e(lambda c, f: F.col(f"u{c}_{f}")).alias("e"), "n")
     context = stats.filter((F.col("kind") == CONTEXT) & (F.col("kept") > 0))
     context = context.select(F.col("a").alias("v"), "kept", (1 - F.col("mass") / F.col("pooled")).alias("back"), *(x(c, FOLDS).alias(f"N{c}") for c in (0, 1)))
-    pairs = stats.filter(F.col("kind") == PAIR).select(F.col("a").alias("v"), F.col("b").alias("w"), *(x(c, f) for c, f in CASES))
+    pairs = stats.filter(F.col("kind") == PAIR).select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("pooled").alias("n"), *(x(c, f) for c, f in CASES))
     pairs = join_counted(pairs, context, "v", "kept").drop("kept")
-    pairs = join_counted(pairs, word.filter("kept > 0"), "w", "kept")
+    pairs = join_counted(pairs, word.filter("kept > 0").drop("n"), "w", "kept")
     p = lambda c, f: _excess(x(c, f)) / F.greatest(F.col(f"N{c}"), F.lit(1)) + F.col("back") * F.col(f"u{c}_{f}")
-    last = F.array(*[F.log(F.col(f"u1_{f}")) - F.log(F.col(f"u0_{f}")) for f in range(FOLDS + 1)])
-    # A pair that is not telling still stands for its last word if that one is.
-    return words.withColumn("last", F.col("e")).unionByName(pairs.select("v", "w", e(p).alias("e"), last.alias("last")))
+    return words.unionByName(pairs.select("v", "w", e(p).alias("e"), "n"))
 
 
 def labelled(rows: DataFrame, marked: DataFrame) -> DataFrame:
@@ -261,6 +297,29 @@ def labelled(rows: DataFrame, marked: DataFrame) -> DataFrame:
     return rows.filter(perhaps("doc_id")).join(marked.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("label", "fold", "text")
 
 
+def _model(found: DataFrame) -> Model:
+    """The model of stored expressions found(v, w, n, units)."""
+    counts = sorted(((r["n"], r["count"]) for r in found.groupBy("n").count().collect()), reverse=True)
+    upto = np.cumsum([k for _, k in counts])
+    few = int(np.searchsorted(upto, LOCAL, "right"))
+    least = counts[few][0] if few < len(counts) else 0
+    local = found.filter(F.col("n") > least).select("v", "w", "units").toArrow()
+    v, w = (local[c].to_numpy().view(np.uint64) for c in ("v", "w"))
+    units = local["units"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 2 * (FOLDS + 1)), np.int32)
+    table = Table(expression(v, w), units)
+    if few == len(counts):
+        return Model(table, None, np.zeros(0, np.uint8))
+    others = found.filter(F.col("n") <= least)
+
+    def hashed(batches):
+        for batch in batches:
+            v, w = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(expression(v, w)))], names=["key"])
+
+    bitmap = bloom(others.select("v", "w").mapInArrow(hashed, "key long"), int(upto[-1]) - len(v))
+    return Model(table, others.select(F.xxhash64("v", "w").alias("key"), "v", "w", "units"), bitmap)
+
+
 def fit(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve_documents: int = CURVE_DOCUMENTS) -> tuple[Model, np.ndarray]:
     """The model of marked(doc_id, label) documents and the weights of its logistic curve.
 
@@ -271,32 +330,30 @@ def fit(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     training = labelled(rows, marked)
-    telling = F.exists("e", lambda e: e >= TELLING) | F.exists("last", lambda e: e >= TELLING)
-    found = durable(differences(durable(statistics(training))).filter(telling).select(F.xxhash64("v", "w").alias("key"), "v", "w", "e"))
-
-    def hashed(batches):
-        for batch in batches:
-            v, w = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(expression(v, w)))], names=["key"])
-
+    in_units = lambda x: F.round(x / UNIT).cast("int")
+    units = F.concat(F.transform("e", lambda e: in_units(F.log1p(SHARES[1] * F.expm1(e)) - F.log1p(SHARES[0] * F.expm1(e)))), F.transform("e", in_units))
+    found = differences(durable(statistics(training))).select("v", "w", "n", units.alias("units"))
+    found = durable(found.filter(F.exists("units", lambda u: u != 0)))
     tidy(docs.sparkSession)
-    model = Model(found, bloom(found.select("v", "w").mapInArrow(hashed, "key long"), found.count()))
+    model = _model(found)
     sample = F.broadcast(marked.orderBy(F.xxhash64("id"), "id").limit(curve_documents))
-    curve = evidence(rows.join(sample, F.col("doc_id") == F.col("id")).select("doc_id", "text", "fold", "label"), model).select("label", "n_words", "units").toArrow()
+    curve = evidence(rows.join(sample, F.col("doc_id") == F.col("id")).select("doc_id", "text", "fold", "label"), model, range(FOLDS)).select("label", "n_words", "units", "plain").toArrow()
     tidy(docs.sparkSession)
-    x, y = features(curve["units"].to_numpy(), curve["n_words"].to_numpy()), curve["label"].to_numpy().astype(float)
-    order = np.lexsort((x[:, 1], x[:, 0], y))  # rows arrive in any order; sums must not depend on it
+    x, y = features(curve["plain"].to_numpy(), curve["units"].to_numpy(), curve["n_words"].to_numpy()), curve["label"].to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))  # rows arrive in any order; sums must not depend on it
     x, y = x[order], y[order]
     if 0 < y.sum() < len(y):
         return model, logistic(x, y)
     share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-    return model, np.array([0.0, 0.0, np.log(share / (1 - share))])
+    return model, np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))])
 
 
-def features(units: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """Logs of the difference of log-likelihoods per word, and in all."""
+def features(plain: np.ndarray, units: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """The plain difference of log-likelihoods per word; the sum of g per word, and in all, on logarithmic scales of either sign."""
     total = np.asarray(units, float) * UNIT
-    return np.column_stack([np.log(total / np.maximum(1, n_words) + 0.003), np.log1p(total)])
+    scaled = lambda x, unit: np.sign(x) * np.log1p(np.abs(x) / unit)
+    n_words = np.maximum(1, n_words)
+    return np.column_stack([np.asarray(plain, float) * UNIT / n_words, scaled(total / n_words, PER_WORD), scaled(total, IN_ALL)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -314,54 +371,80 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """rows(doc_id, text, fold and others) without texts, with n_words, code (xxhash64 of the text) and units.
+def evidence(rows: DataFrame, model: Model, folds: range = range(FOLDS, FOLDS + 1)) -> DataFrame:
+    """rows(doc_id, text, fold and others) without texts, with n_words, code (xxhash64 of the text), units and plain.
 
-    units is the difference of log-likelihoods over the telling expressions, in UNITs; fold: the counts to leave out.
+    units and plain are the sums of g and of the plain differences over all words, in UNITs; fold: the counts to leave out, one of folds.
     """
     others = [f.name for f in rows.schema if f.name != "text"]
-    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in others) + ", code long, doc long, n_words long, tokens array<struct<v: long, w: long, k: long>>"
-    bitmap, bits = rows.sparkSession.sparkContext.broadcast(model.filter.tobytes()), 8 * len(model.filter)
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in others) + ", code long, doc long, n_words long, units long, plain long"
+    if model.others is not None:
+        schema += ", tokens array<struct<v: long, w: long, k: long, known: int, level: int, both: boolean>>"
+    local = Table(model.local.keys[:-1], model.local.units[:-1, [*folds, *(f + FOLDS + 1 for f in folds)]])
+    shared = rows.sparkSession.sparkContext.broadcast((local, model.filter))
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        doc, own = TaskContext.get().partitionId() << 33, np.frombuffer(bitmap.value, np.uint8)
+        doc, (local, bitmap) = TaskContext.get().partitionId() << 33, shared.value
+        perhaps = lambda h: has(bitmap, probes(h, 8 * len(bitmap))) if len(bitmap) else np.zeros(len(h), bool)
+        none = len(local.keys) - 1
         for batch in sliced(batches):
             words = [word_keys(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(w) for w in words], np.int64)
             w, v, of = np.concatenate([*words, np.zeros(0, np.uint64)]), np.concatenate([*map(before, words), np.zeros(0, np.uint64)]), np.repeat(np.arange(len(words)), sizes)
-            hit = np.flatnonzero(has(own, probes(expression(np.full(len(w), ANY, np.uint64), w), bits)) | has(own, probes(expression(v, w), bits)))
-            tokens: list[list] = [[] for _ in words]
-            each, n = np.unique(np.column_stack([of[hit].astype(np.uint64), v[hit], w[hit]]), axis=0, return_counts=True)
-            for (i, *_), a, b, k in zip(each.tolist(), signed(each[:, 1].copy()).tolist(), signed(each[:, 2].copy()).tolist(), n.tolist(), strict=True):
-                tokens[i].append({"v": a, "w": b, "k": k})
-            columns = {n: batch.column(n) for n in [*others, "code"]} | {"doc": doc + np.arange(len(words)), "n_words": sizes, "tokens": tokens}
+            pair, word = expression(v, w), expression(np.full(len(w), ANY, np.uint64), w)
+            # A pair that is kept speaks for the token, else its last word.
+            at = local.find(pair)
+            rest = np.flatnonzero(at == none)
+            at[rest] = local.find(word[rest])
+            fold = np.asarray(batch.column("fold"))[of] - folds.start
+            known, level = local.units[at, fold].astype(np.int64), local.units[at, fold + len(folds)].astype(np.int64)
+            columns = {n: batch.column(n) for n in [*others, "code"]} | {"doc": doc + np.arange(len(words)), "n_words": sizes}
+            columns |= {n: np.bincount(of, x, minlength=len(words)).astype(np.int64) for n, x in (("units", known), ("plain", level))}  # floats are exact below 2^53
             doc += len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], type=x.type) for x in out], schema=out)
-
-    found = durable(rows.withColumn("code", F.xxhash64("text")).mapInArrow(lean(run), schema))
+            if "tokens" in out.names:
+                as_pair, as_word = perhaps(pair[rest]), (at[rest] == none) & perhaps(word[rest])
+                hit = as_pair | as_word
+                i, as_pair, as_word = rest[hit], as_pair[hit], as_word[hit]
+                a, b, x = np.where(as_pair, v[i], np.uint64(ANY)), w[i], of[i]
+                order = np.lexsort((b, a, x))
+                i, a, b, x, both = i[order], a[order], b[order], x[order], (as_pair & as_word)[order]
+                first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (x[1:] != x[:-1]))[: len(x)])
+                k = np.diff(np.append(first, len(x)))
+                kind = out.field("tokens").type
+                tokens = pa.StructArray.from_arrays([pa.array(signed(a[first])), pa.array(signed(b[first])), pa.array(k, pa.int64()), pa.array(known[i[first]], pa.int32()), pa.array(level[i[first]], pa.int32()), pa.array(both[first])], fields=list(kind.value_type))
+                columns["tokens"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(x[first], np.arange(len(words) + 1)), pa.int32()), tokens, type=kind)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in out], schema=out)
+
+    found = rows.withColumn("code", F.xxhash64("text")).mapInArrow(lean(run), schema)
+    if model.others is None:
+        return found.select(*others, "code", "n_words", "units", "plain")
+    found = durable(found)
     token = found.select("doc", "fold", F.explode("tokens").alias("t")).select("doc", "fold", "t.*")
-    # Each token is looked up as a pair and as a word.
-    looked = token.withColumn("at", F.explode(F.array(F.col("v"), F.lit(ANY).cast("long")))).withColumn("key", F.xxhash64("at", "w"))
+    # A token is looked up as a pair, as a word, or as both.
+    either = F.when(F.col("both"), F.array(F.col("v"), F.lit(ANY).cast("long"))).otherwise(F.array("v"))
+    looked = token.withColumn("at", F.explode(either)).withColumn("key", F.xxhash64("at", "w"))
     sizes = looked.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    keyed = durable(model.expressions.select("key", F.col("v").alias("own_v"), F.col("w").alias("own_w"), "e").join(sizes, "key"))
+    keyed = durable(model.others.select("key", F.col("v").alias("own_v"), F.col("w").alias("own_w"), F.col("units").alias("own_units")).join(sizes, "key"))
     met = join_counted(looked, keyed, "key", "size").filter((F.col("at") == F.col("own_v")) & (F.col("w") == F.col("own_w")))
-    # The pair speaks for the token where there is one.
-    spoken = met.groupBy("doc", "v", "w").agg(F.max_by(F.element_at("e", F.col("fold") + 1), F.col("at") != ANY).alias("e"), F.max("k").alias("k"))
-    units = F.when(F.col("e") >= TELLING, F.round(F.col("e") / UNIT).cast("long") * F.col("k")).otherwise(0)
-    by_doc = spoken.groupBy(F.col("doc").alias("of")).agg(F.sum(units).alias("units"))
-    return found.join(by_doc, F.col("doc") == F.col("of"), "left").select(*others, "code", "n_words", F.coalesce("units", F.lit(0)).alias("units"))
+    mine = F.struct(F.element_at("own_units", F.col("fold") + 1).cast("long").alias("g"), F.element_at("own_units", F.col("fold") + FOLDS + 2).cast("long").alias("e"))
+    spoken = met.groupBy("doc", "v", "w").agg(F.max_by(mine, F.col("at") != ANY).alias("own"), *(F.max(n).alias(n) for n in ("k", "known", "level")))
+    more = spoken.groupBy(F.col("doc").alias("of")).agg(*(F.sum((F.col(f"own.{x}") - F.col(n)) * F.col("k")).alias(f"more_{x}") for x, n in (("g", "known"), ("e", "level"))))
+    total = lambda n, x: (F.col(n) + F.coalesce(f"more_{x}", F.lit(0))).alias(n)
+    return found.join(more, F.col("doc") == F.col("of"), "left").select(*others, "code", "n_words", total("units", "g"), total("plain", "e"))
 
 
 def toxicity_scores(docs: DataFrame, model: Model, curve: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1), n_words, code (xxhash64 of the text).
 
-    A text without words (null, empty, punctuation only) has no evidence and gets the score of a text without evidence.
+    A text without words (null, empty, punctuation only) is as likely under both models and gets the score of such a text.
     Ids that repeat, null ones included, are scored each by their text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.lit(FOLDS).alias("fold"))
     total = F.col("units") * UNIT
-    x = float(curve[0]) * F.log(total / F.greatest("n_words", F.lit(1)) + 0.003) + float(curve[1]) * F.log1p(total) + float(curve[2])
+    scaled = lambda x, unit: F.signum(x) * F.log1p(F.abs(x) / unit)
+    n, (a, b, c, d) = F.greatest("n_words", F.lit(1)), map(float, curve)
+    x = a * (F.col("plain") * UNIT / n) + b * scaled(total / n, PER_WORD) + c * scaled(total, IN_ALL) + d
     score = 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(700.0)), F.lit(-700.0))))
     return evidence(rows, model).select("doc_id", score.alias("score"), "n_words", "code")
 

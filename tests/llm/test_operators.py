@@ -660,6 +660,45 @@ def test_toxicity_sees_expressions(spark, monkeypatch, most):
     assert sum((s >= 0.5) == (i % 4 == 0) for i, s in scores[0].items() if i >= 400) >= 190
 
 
+@pytest.mark.parametrize("local", [0, 25, 1 << 20])
+def test_toxicity_sums_all_words(spark, monkeypatch, local):
+    """Every word's difference, of either sign, wherever its expression is looked up."""
+    monkeypatch.setattr(toxicity, "LOCAL", local)
+    r = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choice(words[8 * (i % 3 == 0) :], int(r.integers(0, 80)))), "s") for i in range(150)] + [(200, None, "s"), (201, "unseen words", "s")]
+    marked = [(i, int(i % 3 == 0)) for i in range(120)]
+    df = docs_of(spark, rows).repartition(3)
+    model, _ = toxicity.fit(df, spark.createDataFrame(marked, "doc_id long, label int"))
+    assert (model.others is None) == (local > 25) and (len(model.local.keys) > 1) == (local > 0)
+    at = {r["id"]: r["f"] for r in spark.createDataFrame(marked, "id long, label int").select("id", F.pmod(F.xxhash64("id"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    e = brute_differences([(y, at[i], rows[i][1]) for i, y in marked])
+    for fold in (toxicity.FOLDS, 1):
+        asked = df.select("doc_id", common.text_of("text").alias("text"), F.lit(fold).alias("fold"))
+        got = {x["doc_id"]: (x["units"] * toxicity.UNIT, x["plain"] * toxicity.UNIT) for x in toxicity.evidence(asked, model, range(fold, fold + 1)).collect()}
+        signs, (s0, s1) = set(), toxicity.SHARES
+        for i, text, _ in rows:
+            w = ["<", *(text or "").split()]
+            r = [math.exp(e.get((v, x), e.get((None, x), [0] * 5))[fold]) for v, x in zip(w, w[1:], strict=False)]
+            g = [math.log(1 - s1 + s1 * x) - math.log(1 - s0 + s0 * x) for x in r]
+            signs |= {math.copysign(1, x) for x in g if abs(x) > 1e-9}
+            units, plain = got.pop(i)
+            assert abs(units - sum(g)) < len(w) * toxicity.UNIT and abs(plain - sum(map(math.log, r))) < len(w) * toxicity.UNIT
+        assert not got and signs == {1, -1}
+
+
+def test_toxicity_sees_mild_evidence(spark):
+    """No word tells much; all together do."""
+    r = np.random.default_rng(13)
+    names = np.array([f"word{i}" for i in range(200)])
+    odds = np.array([np.where(np.arange(200) % 2 == c, 0.62, 0.38) for c in (0, 1)])
+    rows = [(i, " ".join(r.choice(names, 400, p=odds[i % 2] / odds[i % 2].sum())), "s") for i in range(400)]
+    df = docs_of(spark, rows)
+    model, curve = toxicity.fit(df, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, label int"))
+    scores = {x["doc_id"]: x["score"] for x in toxicity.toxicity_scores(df, model, curve).collect()}
+    assert sum((scores[i] >= 0.5) == (i % 2 == 1) for i in range(300, 400)) >= 95
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

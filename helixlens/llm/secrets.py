@@ -9,8 +9,11 @@ that was met before at the same span is not followed again, which ends cycles su
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import mmap
 import re
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -45,7 +48,7 @@ PACKED_ESCAPE = re.compile(r"\\(?:x|u00)1[Ff]\\(?:x|u00)8[Bb]\\(?:b|(?:x|u00)08)
 PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|[!-$&-~]")
 ESCAPE_BYTE = re.compile(r"""\\(?:x|u00)([0-9A-Fa-f]{2})|\\([abfnrtv0'"/\\])|[\x20-\[\]-~]""")
 ESCAPED = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0", strict=True))
-#: Inflated bytes that are put in place of their run; a longer layer is followed by itself, in chunks.
+#: Inflated bytes that are held in memory, more are in a temporary file; what is found does not depend on it.
 IN_PLACE = 1 << 24
 #: Bytes of a chunk at least; it ends where no pattern's match can go on, so chunks hold all that their layer holds.
 CHUNK = 1 << 20
@@ -143,29 +146,34 @@ def _chunks(blocks: Iterable[bytes]) -> Iterator[bytes]:
         yield held
 
 
-def _inflated(blocks: Iterable[bytes]) -> tuple[bytes, Iterator[bytes]]:
-    """Bytes out of all their wrappings, and the blocks that follow where that is more than IN_PLACE bytes."""
-    blocks, seen = iter(blocks), set()
-    while True:
-        head, size = [], 0
-        for block in blocks:
-            head.append(block)
-            size += len(block)
-            if size > IN_PLACE:
-                break
-        head = b"".join(head)
-        if not _packed(head) or (mark := hashlib.sha256(head).digest()) in seen:
-            return head, blocks
+def _whole(blocks: Iterable[bytes]) -> bytes | mmap.mmap:
+    """All bytes of blocks."""
+    blocks, held, size = iter(blocks), [], 0
+    for block in blocks:
+        held.append(block)
+        size += len(block)
+        if size > IN_PLACE:
+            with tempfile.TemporaryFile() as f:
+                f.writelines(chain(held, blocks))
+                f.flush()
+                return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    return b"".join(held)
+
+
+def _inflated(raw: bytes | mmap.mmap) -> bytes | mmap.mmap:
+    """Bytes out of all their wrappings."""
+    seen = set()
+    while _packed(raw[:3]) and (mark := hashlib.sha256(raw).digest()) not in seen:
         seen.add(mark)
-        inner = _members(chain([head], blocks))
-        first = next(inner, None)
-        if first is None:
-            return head, blocks
-        blocks = chain([first], inner)
+        inner = _whole(_members(_blocks(raw, 0)))
+        if not len(inner):
+            break
+        raw = inner
+    return raw
 
 
 def _counted(blocks: Iterable[bytes]) -> int:
-    """Bytes at the head of blocks that are compressed members; 0: none unfolds to anything."""
+    """Bytes at the head of blocks that are compressed members, the first three of a damaged one; 0: none unfolds to anything."""
     taken, left, any_out = 0, [], False
 
     def fed():
@@ -176,26 +184,25 @@ def _counted(blocks: Iterable[bytes]) -> int:
 
     for _ in _members(fed(), left):
         any_out = True
-    return max(taken - sum(left), 3) if any_out else 0
+    return (max(taken - left[0], 3) if left else 3) if any_out else 0
 
 
-def _blocks(raw: bytes, start: int) -> Iterator[bytes]:
+def _blocks(raw: bytes | mmap.mmap, start: int) -> Iterator[bytes]:
     return (raw[at : at + (1 << 16)] for at in range(start, len(raw), 1 << 16))
 
 
-def _texts(raw: bytes, seen: frozenset = frozenset()) -> Iterator[bytes]:
+def _texts(raw: bytes | mmap.mmap, seen: frozenset = frozenset()) -> Iterator[bytes]:
     """Chunks of all ASCII text in raw: its own, and that of compressed members wherever they stand in it. seen: what holds raw."""
     if (mark := hashlib.sha256(raw).digest()) in seen:
         return
     if ASCII_TEXT.search(raw):
-        yield from _chunks([raw])
+        yield from _chunks(_blocks(raw, 0))
     at = 0
     while m := PACKED.search(raw, at):
         size = _counted(_blocks(raw, m.start()))
         at = max(m.end(), m.start() + size)
         if size:
-            head, more = _inflated(_members(_blocks(raw, m.start())))
-            yield from _texts(head, seen | {mark}) if len(head) <= IN_PLACE else _chunks(chain([head], more))
+            yield from _texts(_inflated(_whole(_members(_blocks(raw, m.start())))), seen | {mark})
 
 
 def _percent_bytes(layer: str, start: int) -> Iterator[bytes]:
@@ -221,24 +228,45 @@ def _packed_runs(layer: str) -> Iterator[tuple[int, int, Iterator[bytes]]]:
             at = m.end()
             if size := _counted(decoded(layer, m.start())):
                 at = max(at, next(islice(unit.finditer(layer, m.start()), size - 1, None)).end())
-                inner, more = _inflated(_members(decoded(layer, m.start())))
-                yield m.start(), at, _chunks(chain([inner], more))
+                yield m.start(), at, _texts(_inflated(_whole(_members(decoded(layer, m.start())))))
 
 
-def _plain(raw: bytes) -> str | None:
-    """Bytes as text, if they look like text."""
+def _plain(raw: bytes | mmap.mmap) -> bool:
+    """Whether bytes look like text."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        text = raw.decode("utf-8")
+        plain = all(re.sub("[\t\n\r]", "", decoder.decode(block)).isprintable() for block in _blocks(raw, 0))
+        return plain and len(raw) > 0 and not decoder.decode(b"", True)
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return False
+
+
+def _between(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """All chunks but the first and the last."""
+    next(chunks, None)
+    held = next(chunks, None)
+    for chunk in chunks:
+        yield held
+        held = chunk
+
+
+def _edges(raw: bytes | mmap.mmap, alone: list) -> str:
+    """The text of raw that takes the place of its run: a match that goes on outside is in the first or the last chunk; the others go to alone."""
+    if len(raw) <= IN_PLACE:
+        return raw.decode("utf-8")
+    chunks = _chunks(_blocks(raw, 0))
+    first, last = next(chunks), b""
+    for last in chunks:
+        pass
+    alone.append(_between(_chunks(_blocks(raw, 0))))
+    return (first + last).decode("utf-8", "replace")
 
 
 def _unwrapped(run: str, alone: list) -> str | None:
     """The text in a base64 run, through any compression of its bytes.
 
-    Chunks of what is no plain text or too long for its place, but may hold some text, go to alone: in each of the four
-    alignments, as the run may begin with characters that belong to the text before it.
+    Chunks of what is no plain text, but may hold some, go to alone: in each of the four alignments, as the run may begin
+    with characters that belong to the text before it.
     """
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
 
@@ -247,13 +275,13 @@ def _unwrapped(run: str, alone: list) -> str | None:
         return base64.b64decode(own + "=" * (-len(own) % 4))
 
     raw = aligned(0)
-    inner, _ = _inflated([raw])
-    text = _plain(inner) if len(inner) <= IN_PLACE and len(body) % 4 != 1 else None
-    if text is None:
+    inner = _inflated(raw)
+    if len(body) % 4 == 1 or not _plain(inner):
         alone += [_texts(aligned(at)) for at in range(4)]
-    elif inner != raw and ASCII_TEXT.search(raw):
+        return None
+    if inner != raw and ASCII_TEXT.search(raw):
         alone.append(_chunks([raw]))
-    return text
+    return _edges(inner, alone)
 
 
 def _layers(layer: str, starts, ends) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

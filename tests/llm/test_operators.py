@@ -479,6 +479,26 @@ def test_secrets_long_and_many_members():
         assert [x for x in secrets.find_secrets(text)[1] if x[1] == 0 and x[2] - x[0] > 30] == [(4, 0, len(text) - 6)]
 
 
+def test_secrets_do_not_depend_on_size(monkeypatch):
+    key = b"password = hunter2hunter2"
+    wrapped = lambda raw: f"see {base64.b64encode(raw).decode()} there"
+    long = b"\1 words, and more of them.\n" * 700_000  # over 16 MB, and no plain text
+    text = wrapped(gzip.compress(long + gzip.compress(key) + b" end"))
+    assert [x for x in secrets.find_secrets(text)[1] if x[1] == 0] == [(4, 0, len(text) - 6)]
+    damaged = b"\x78\x9c\x4b\x4c\xff" + b"\1" * 9 + gzip.compress(key)  # unfolds to one character, then breaks
+    assert any(k == 0 for _, k, _ in secrets.find_secrets(wrapped(damaged))[1])
+    lines = b"".join(b"line %d of some words\n" % i for i in range(40))
+    inner = [b"hunter2hunter2\n" + lines + b"secret:", lines + b"x" + gzip.compress(key), b"\1" + lines + gzip.compress(lines + b"\2" + zlib.compress(key)), lines + key + b"\n" + lines + base64.b64encode(key)]
+    texts = [f"password={base64.b64encode(f(x)).decode()}={'abcd' * 4} end" for x in inner for f in (gzip.compress, zlib.compress, bytes)]
+    texts += [f"see {urllib.parse.quote(gzip.compress(x))} there" for x in inner[1:]]
+    want = [secrets.find_secrets(x) for x in texts]
+    assert all(any(k == 0 for _, k, _ in spans) for _, spans in want)
+    for most, chunk in ((64, 64), (200, 100), (1, 1)):
+        monkeypatch.setattr(secrets, "IN_PLACE", most)
+        monkeypatch.setattr(secrets, "CHUNK", chunk)
+        assert [secrets.find_secrets(x) for x in texts] == want
+
+
 def test_secrets_in_mixed_layers():
     key = "password = hunter2hunter2"
     deep = base64.b64encode(key.encode()).decode()

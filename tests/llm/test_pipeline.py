@@ -3,10 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from helixlens.llm import common
+from helixlens.llm import common, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,14 @@ def test_run(spark, stages):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     key = lambda rows: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
     assert key(got.collect()) == key(stages["packing"][1])
+
+
+def test_mild_toxicity_goes(spark):
+    """Texts without a single telling word, whose words all together tell."""
+    r = np.random.default_rng(13)
+    names = np.array([f"word{i}" for i in range(200)])
+    odds = np.array([np.where(np.arange(200) % 2 == c, 0.62, 0.38) for c in (0, 1)])
+    docs = spark.createDataFrame([(i, " ".join(r.choice(names, 400, p=odds[i % 2] / odds[i % 2].sum()))) for i in range(400)], "doc_id long, text string")
+    kept = toxicity.without_toxic(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"))
+    stay = {x["doc_id"] for x in kept.collect()}
+    assert sum((i in stay) == (i % 2 == 0) for i in range(300, 400)) >= 95

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlens.llm.common import discard, documents, labels, stored, tidy
+from helixlens.llm.common import discard, documents, labels, settle, stored
 from helixlens.llm.exact_dedup import keep_first
 from helixlens.llm.mixing import mixed_documents
 from helixlens.llm.near_dedup import keep_one_of_each
@@ -15,31 +15,31 @@ from helixlens.plans.session import ship
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models, learnt from the labels of sf_dir, reject are gone."""
-    tidy(ship(spark))
+    settle(ship(spark))
     return without_toxic(docs, labels(spark, sf_dir))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space apart) the smallest doc_id stays."""
-    tidy(ship(spark))
+    settle(ship(spark))
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the smallest doc_id stays: shingles of five words, similarity 0.8."""
-    tidy(ship(spark))
+    settle(ship(spark))
     return keep_one_of_each(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: rows are repeated or left out."""
-    tidy(ship(spark))
+    settle(ship(spark))
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences; a document that the mix repeats has the pieces of each repeat."""
-    tidy(ship(spark))
+    settle(ship(spark))
     return pack(docs)
 
 

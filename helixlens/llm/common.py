@@ -48,6 +48,13 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """tidy, and have the executors give free heap back too: a JVM otherwise keeps the most that any stage before took."""
+    tidy(spark)
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a local session (a test) gets one of its own; a cluster has none to fall back on."""
     named, sc = spark.conf.get("spark.checkpoint.dir", ""), spark.sparkContext
